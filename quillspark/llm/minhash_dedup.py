@@ -64,7 +64,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     time, rate, k = np.zeros(len(doc)), weight.astype(np.float64), 0
     while len(doc):
         k += 1
-        draw = mix(element + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+        draw = mix(element + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
         time = time - np.log1p(-(draw >> np.uint64(11)).astype(np.float64) / 2.0**53) / rate
         active = time < latest[doc]
         doc, element, time, rate, draw = doc[active], element[active], time[active], rate[active], draw[active]
