@@ -16,7 +16,7 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _packing_args() -> dict[str, str]:
+def packing_args() -> dict[str, str]:
     import public_tokenizers
 
     return {"tokenizer": _tokenizer("byte_bpe_50k.json"), "ranks": _tokenizer("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -78,7 +78,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import packing as op
 
-    return op.pack(_table(spark, sf_dir, "documents"), **_packing_args())
+    return op.pack(_table(spark, sf_dir, "documents"), **packing_args())
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

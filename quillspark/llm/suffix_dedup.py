@@ -10,12 +10,12 @@ passages of 50 words keep the same suffix inside the passage, whatever surrounds
    and right beyond the core: all that a window of 50 words around the core can touch.
 4. The suffixes are sorted by core and right context over range partitions (so a
    passage that a third of all documents share is split over tasks) and each is compared
-   with the next; common words to the right and to the left of the core are added, and
-   a pair of 50 or more marks a span in both texts.  The first and last suffix
-   of every partition meet in one more small comparison.  The same
-   is done in the order of core and left context.
-5. Of the suffixes with one core that matched, the text with the smallest fingerprint keeps
-   its passage, and every other span is removable; spans are united by text.
+   with the next, and with the smallest text fingerprint so far of its core; common words to the
+   right and to the left of the core are added, and a pair of 50 or more
+   marks a span in both texts.  The ends of every partition meet in one more small
+   comparison.  The same is done in the order of core and left context.
+5. Of a pair the larger fingerprint's span is removable, so what goes is always still
+   held by a smaller text; spans are united by text.
 
 Whole copies are one text: only the copy with the smallest row fingerprint takes
 part, the others are removable whole if they have 50 words.
@@ -79,21 +79,20 @@ def _anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[a + doc]), pa.array((at[pick] - words.first[doc]).astype(np.int32)), pa.array(cores[pick].view(np.int64))], ["text_key", "at", "core"])
 
 
-SUFFIX = "core long, right binary, left binary, text_key long, at int, again boolean"
+SUFFIX = "core long, right binary, left binary, text_key long, at int"
 
 
 def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text key, text, positions) to suffixes with context; again: not the text's first with this core."""
+    """(text key, text, positions) to suffixes with their context."""
     for batch in rows:
         places = batch.column(2).to_pylist()
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(5)]
         for a, b, words in column_words(batch.column(1), NOT_SPACE):
             hashes = words.hashes()
             cores, starts = window_hashes(hashes, words.first, CORE)
             short = (hashes >> np.uint64(32)).astype("<u4")
             for d in range(b - a):
                 lo, hi = int(words.first[d]), int(words.first[d + 1])
-                seen: set[int] = set()
                 for p in sorted(set(places[a + d])):
                     i = lo + p
                     core = int(cores[np.searchsorted(starts, i)])
@@ -102,10 +101,8 @@ def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[2].append(short[max(lo, i - REACH) : i][::-1].tobytes())
                     out[3].append(batch.column(0)[a + d].as_py())
                     out[4].append(p)
-                    out[5].append(core in seen)
-                    seen.add(core)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["core", "right", "left", "text_key", "at", "again"])
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["core", "right", "left", "text_key", "at"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -116,35 +113,56 @@ def _common(a: bytes, b: bytes) -> int:
     return next(i for i in range(n) if a[4 * i : 4 * i + 4] != b[4 * i : 4 * i + 4])
 
 
-MATCH = "core long, text_key long, at int, again boolean, before int, after int, edge binary, part int, side int"
+MATCH = "text_key long, start int, end int, goes boolean, core long, right binary, left binary, part int, side int"
 _MATCH_NAMES = [x.split()[0] for x in MATCH.split(", ")]
-_MATCH_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+_MATCH_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
 
 
-def _pair(x: tuple, y: tuple) -> tuple[int, int] | None:
-    """Words before and after the core that two neighbours share, if they make a passage."""
-    if x[0] != y[0] or (x[3], x[4]) == (y[3], y[4]):
-        return None
-    after, before = _common(x[1], y[1]), _common(x[2], y[2])
-    return (before, after) if before + after >= REACH else None
+class _Run:
+    """Suffixes in order: each meets the one before it and the smallest so far with its core.
+
+    A suffix is (core, right, left, text_key, at).  Of a pair that shares a passage the
+    larger (text_key, at) is removable, so what goes is always still held by a smaller one.
+    """
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None
+        self.least: tuple | None = None
+
+    def feed(self, x: tuple, out: list[tuple]) -> None:
+        if self.last is None or self.last[0] != x[0]:
+            self.least = x
+        else:
+            for y in {id(self.last): self.last, id(self.least): self.least}.values():
+                self._pair(x, y, out)
+            self.least = min(self.least, x, key=lambda s: s[3:])
+        self.last = x
+
+    def _pair(self, x: tuple, y: tuple, out: list[tuple]) -> None:
+        if x[3:] == y[3:]:
+            return
+        after, before = _common(x[1], y[1]), _common(x[2], y[2])
+        if before + after >= REACH:
+            for s, other in ((x, y), (y, x)):
+                out.append((s[3], s[4] - before, s[4] + CORE + after, s[3:] > other[3:], None, None, None, None, None))
 
 
 def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to matches, and the partition's two ends as rows with ``edge``."""
+    """Sorted suffixes to matches; the partition's ends (side 0 to 3) are rows with a core."""
     from pyspark import TaskContext
 
-    part, last, first = TaskContext.get().partitionId(), None, None
+    part, run, first, first_least = TaskContext.get().partitionId(), _Run(), None, None
     for batch in rows:
         out: list[tuple] = []
         for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if last is None:
-                first = x
-            elif found := _pair(last, x):
-                out += [(s[0], s[3], s[4], s[5], *found, None, part, 0) for s in (last, x)]
-            last = x
+            first = first or x
+            run.feed(x, out)
+            if x[0] == first[0]:
+                first_least = run.least
         yield _matches(out)
     if first is not None:
-        yield _matches([(s[0], s[3], s[4], s[5], len(s[1]), len(s[2]), s[1] + s[2], part, side) for s, side in ((first, 0), (last, 1))])
+        ends = (first, first_least, run.least, run.last)
+        yield _matches([(s[3], s[4], 0, False, s[0], s[1], s[2], part, side) for side, s in enumerate(ends)])
 
 
 def _matches(rows: list[tuple]) -> pa.RecordBatch:
@@ -152,16 +170,12 @@ def _matches(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _ends(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions' ends in order (two rows each) to the matches between partitions."""
-    last = None
+    """Partitions' ends in order (four rows each) to the matches between partitions."""
+    run = _Run()
     for batch in rows:
         out: list[tuple] = []
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            core, key, at, again, n_right, _, edge, _, side = r
-            x = (core, edge[:n_right], edge[n_right:], key, at, again)
-            if side == 0 and last is not None and (found := _pair(last, x)):
-                out += [(s[0], s[3], s[4], s[5], *found, None, -1, 0) for s in (last, x)]
-            last = x
+        for key, at, _, _, core, right, left, _, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            run.feed((core, right, left, key, at), out)
         yield _matches(out)
 
 
@@ -169,10 +183,10 @@ def _matched(suffixes: DataFrame, order: str, folder: str) -> DataFrame:
     """Verified matches between neighbours in the order of core and one context."""
     columns = ["core", order, "left" if order == "right" else "right", "text_key", "at"]
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(suffixes.repartitionByRange(n, *columns).sortWithinPartitions(*columns).select("core", "right", "left", "text_key", "at", "again").mapInArrow(_neighbours, MATCH), f"{folder}/by-{order}")
-    # Two rows for each partition: a bound that follows the number of tasks, not the data.
-    ends = found.filter("edge IS NOT NULL").repartition(1).sortWithinPartitions("part", "side").mapInArrow(_ends, MATCH)
-    return found.filter("edge IS NULL").unionByName(ends).select("core", "text_key", "at", "again", "before", "after")
+    found = written(suffixes.repartitionByRange(n, *columns).sortWithinPartitions(*columns).select("core", "right", "left", "text_key", "at").mapInArrow(_neighbours, MATCH), f"{folder}/by-{order}")
+    # Four rows for each partition: a bound that follows the number of tasks, not the data.
+    ends = found.filter("core IS NOT NULL").repartition(1).sortWithinPartitions("part", "side").mapInArrow(_ends, MATCH)
+    return found.filter("core IS NULL").unionByName(ends).select("text_key", "start", "end", "goes")
 
 
 SPANS = "spans array<struct<start:int,end:int>>"
@@ -211,11 +225,8 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = wanted.join(texts, "text_key").select(F.col("keeper").alias("row_key"), "text_key", "places")
     suffixes = written(rows.select("row_key", "text").join(wanted, "row_key").select("text_key", "text", "places").mapInArrow(_contexts, SUFFIX), f"{folder}/suffixes")
     found = _matched(suffixes, "right", folder).unionByName(_matched(suffixes, "left", folder))
-    keepers = found.groupBy("core").agg(F.min("text_key").alias("first_key"))
-    found = found.join(keepers, "core")
-    span = F.struct((F.col("at") - F.col("before")).alias("start"), (F.col("at") + CORE + F.col("after")).alias("end"))
-    goes = F.col("again") | (F.col("text_key") != F.col("first_key"))
-    spans = found.groupBy("text_key").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(goes, span)).alias("removable"))
+    span = F.struct("start", "end")
+    spans = found.groupBy("text_key").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("goes"), span)).alias("removable"))
     spans = spans.select("text_key", _united("spans").alias("spans"), _united("removable").alias("removable"))
     return texts.join(spans, "text_key", "left").filter("copies > 1 OR spans IS NOT NULL")
 
