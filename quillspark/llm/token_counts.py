@@ -24,23 +24,25 @@ chunk; only the named columns are read.
 
 from __future__ import annotations
 
+import os
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import batches, string_parts, texts_of
+from quillspark.llm._arrays import batches, string_parts
 
 #: Documents in a chunk, at most.
-CHUNK = 4096
+CHUNK = 2048
 LIMIT = 2048
 _BEYOND = re.compile("[^\x00-ɏ]")
 
-MESSAGE = "k long, token string, task int, batch int, body binary"
+MESSAGE = "token string, task int, batch int, body binary"
 
 
 class PreTokenizer:
@@ -51,11 +53,11 @@ class PreTokenizer:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; others would each keep an arena
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.find = regex.compile(pattern).findall if pattern else None
-        self.decoder = self.lib.decoder
 
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens as normalised text, and how many special strings stood between them."""
@@ -77,10 +79,17 @@ class PreTokenizer:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
-def _single_entries(pre: PreTokenizer) -> set[str]:
+@lru_cache(maxsize=1)
+def _pre_tokenizer(path: str, pattern: str | None) -> PreTokenizer:
+    """One per worker process, which runs many tasks."""
+    return PreTokenizer(path, pattern)
+
+
+@lru_cache(maxsize=1)
+def _single_entries(pre: PreTokenizer) -> frozenset[str]:
     """ASCII words of the vocabulary that are one piece: a table of the file's size."""
     words = [w[:-4] for w in pre.lib.get_vocab() if w.endswith("</w>") and len(w) > 4 and w[:-4].isascii() and w[:-4].isalpha()]
-    return {w for w, n in zip(words, pre.n_pieces(words), strict=True) if n == 1}
+    return frozenset(w for w, n in zip(words, pre.n_pieces(words), strict=True) if n == 1)
 
 
 def _emit_with(path: str, pattern: str | None):
@@ -89,79 +98,99 @@ def _emit_with(path: str, pattern: str | None):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, pre = TaskContext.get().partitionId(), PreTokenizer(path, pattern)
+        task, pre = TaskContext.get().partitionId(), _pre_tokenizer(path, pattern)
         single = _single_entries(pre)
         for number, batch in enumerate(batches(rows, CHUNK)):
             known = np.zeros(batch.num_rows, dtype=np.int64)
-            postings: dict[str, list[int]] = defaultdict(list)
-            for d, text in enumerate(texts_of(batch.column(1))):
-                found, known[d] = pre.pre_tokens(text)
+            tokens, times, pairs = [], [], np.zeros(batch.num_rows, dtype=np.int64)
+            parts: list[pa.Array] = []
+            for d in range(batch.num_rows):
+                found, known[d] = pre.pre_tokens(batch.column(1)[d].as_py() or "")
                 counted = Counter(found)
-                for token in counted.keys() & single:
+                for token in single.intersection(counted):
                     known[d] += counted.pop(token)
-                for token, n in counted.items():
-                    postings[token] += (d, n)
+                tokens += counted.keys()
+                times += counted.values()
+                pairs[d] = len(counted)
+                if len(tokens) > 50_000:
+                    parts.append(pa.array(tokens, pa.string()))
+                    tokens = []
+            parts.append(pa.array(tokens, pa.string()))
+            tokens = []
             n_bytes = np.diff(string_parts(batch.column(1))[1])
             header = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(known)], ["doc_id", "n_bytes", "known"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, header.schema) as w:
                 w.write_batch(header)
-            yield _messages([(None, sink.getvalue().to_pybytes())], task, number)
-            items = list(postings.items())
-            for i in range(0, len(items), 50_000):
-                yield _messages([(t, np.array(p, dtype="<u2" if max(p) < 65536 else "<u4").tobytes() + (b"2" if max(p) < 65536 else b"4")) for t, p in items[i : i + 50_000]], task, number)
+            yield _messages(pa.array([None], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), task, number)
+            yield from _postings(pa.chunked_array(parts), np.repeat(np.arange(batch.num_rows), pairs), np.array(times, dtype=np.int64), task, number)
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _messages(rows: list[tuple[str | None, bytes]], task: int, number: int) -> pa.RecordBatch:
-    n = len(rows)
-    k = np.array([hash_of(t) if t is not None else hash_of(f"{task}/{number}") for t, _ in rows], dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array([t for t, _ in rows], pa.string()), pa.array(np.full(n, task, dtype=np.int32)), pa.array(np.full(n, number, dtype=np.int32)), pa.array([b for _, b in rows], pa.binary())], ["k", "token", "task", "batch", "body"])
+def _postings(tokens: pa.ChunkedArray, doc: np.ndarray, times: np.ndarray, task: int, number: int) -> Iterator[pa.RecordBatch]:
+    """One message per distinct token: its (document, times) pairs as 16-bit numbers."""
+    coded = tokens.combine_chunks().dictionary_encode()
+    code = coded.indices.to_numpy()
+    while (large := np.flatnonzero(times > 65535)).size:  # a pair holds 16 bits; more pairs hold the rest
+        code, doc, times = np.append(code, code[large]), np.append(doc, doc[large]), np.append(times, times[large] - 65535)
+        times[large] = 65535
+    order = np.argsort(code, kind="stable")
+    pairs = np.empty((len(order), 2), dtype="<u2")
+    pairs[:, 0], pairs[:, 1] = doc[order], times[order]
+    ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary))) * 4
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    bodies = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])
+    for i in range(0, len(bodies), 20_000):
+        yield _messages(coded.dictionary.slice(i, 20_000), bodies.slice(i, 20_000), task, number)
+
 
+def _messages(tokens: pa.Array, bodies: pa.Array, task: int, number: int) -> pa.RecordBatch:
+    n = len(tokens)
+    return pa.RecordBatch.from_arrays([tokens, pa.array(np.full(n, task, dtype=np.int32)), pa.array(np.full(n, number, dtype=np.int32)), bodies], ["token", "task", "batch", "body"])
 
-def hash_of(token: str) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _sums(task: list[int], number: list[int], header: bool, bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(number, pa.int32()), pa.array([header] * len(task)), pa.array(bodies, pa.binary())], ["task", "batch", "header", "body"])
 
 
 def _count_with(path: str, pattern: str | None):
     """Messages sorted by pre-token to (task, batch, body): sums per chunk, and the headers as they are."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokenizer(path, pattern)
+        pre = _pre_tokenizer(path, pattern)
         sums: dict[tuple[int, int], np.ndarray] = {}
-        held, last, last_n = 0, None, 0
+        last, last_n = None, 0
 
         def flush() -> pa.RecordBatch:
-            keys = list(sums)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([False] * len(keys)), pa.array([sums[k].tobytes() for k in keys], pa.binary())], ["task", "batch", "header", "body"])
+            out = _sums([k[0] for k in sums], [k[1] for k in sums], False, [v.astype("<i8").tobytes() for v in sums.values()])
             sums.clear()
             return out
 
         for batch in rows:
-            tokens = batch.column(1).to_pylist()
-            distinct = list(dict.fromkeys(t for t in tokens if t is not None and t != last))
-            n_of = dict(zip(distinct, pre.n_pieces(distinct), strict=True))
-            if last is not None:
-                n_of[last] = last_n
-            heads = [i for i, t in enumerate(tokens) if t is None]
-            if heads:
-                at = pa.array(heads, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array([True] * len(heads)), batch.column(4).take(at)], ["task", "batch", "header", "body"])
-            for token, task, number, body in zip(tokens, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if token is None:
-                    continue
-                if (task, number) not in sums:
-                    if held >= 2048:
-                        yield flush()
-                        held = 0
-                    sums[task, number] = np.zeros(CHUNK, dtype="<i8")
-                    held += 1
-                pairs = np.frombuffer(body[:-1], dtype=f"<u{body[-1:].decode()}")
-                sums[task, number][pairs[::2]] += pairs[1::2].astype(np.int64) * n_of[token]
-                last, last_n = token, n_of[token]
+            heads = batch.filter(batch.column(0).is_null())
+            if heads.num_rows:
+                yield _sums(heads.column(1).to_pylist(), heads.column(2).to_pylist(), True, heads.column(3).to_pylist())
+                batch = batch.filter(batch.column(0).is_valid())
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            # Sorted rows: only the first token can have been counted with the batch before.
+            new = [t for t in distinct if t != last]
+            n_of = dict(zip(new, pre.n_pieces(new), strict=True)) | ({last: last_n} if last in distinct else {})
+            pieces = np.array([n_of[t] for t in distinct])[coded.indices.to_numpy()]
+            last, last_n = batch.column(0)[batch.num_rows - 1].as_py(), int(pieces[-1])
+            data, offsets = string_parts(batch.column(3))
+            pairs, per_row = data.view("<u2").reshape(-1, 2), np.diff(offsets) // 4
+            chunk, at = np.unique(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()]), axis=1, return_inverse=True)
+            place = np.repeat(at.reshape(-1) * CHUNK, per_row) + pairs[:, 0]
+            total = np.bincount(place, weights=pairs[:, 1] * np.repeat(pieces, per_row), minlength=chunk.shape[1] * CHUNK).reshape(-1, CHUNK)
+            for k, row in zip(map(tuple, chunk.T.tolist()), total, strict=True):
+                sums[k] = sums[k] + row if k in sums else row
+            if len(sums) > 1024:
+                yield flush()
         if sums:
             yield flush()
 
@@ -196,7 +225,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str | None = None, id
     """doc_id, n_bytes, n_tokens for each document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     messages = rows.mapInArrow(_emit_with(tokenizer, pattern), MESSAGE)
-    met = messages.repartition(F.col("k")).sortWithinPartitions("k", "token")
+    key = F.when(F.col("token").isNull(), F.xxhash64("task", "batch")).otherwise(F.xxhash64("token"))
+    met = messages.repartition(key).sortWithinPartitions("token")
     sums = met.mapInArrow(_count_with(tokenizer, pattern), "task int, batch int, header boolean, body binary")
     by_chunk = sums.repartition("task", "batch").sortWithinPartitions("task", "batch", F.desc("header"))
     return by_chunk.mapInArrow(_sum_with(None), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
