@@ -27,7 +27,12 @@ CHAPTER_CUE = r"제\s*[0-9]+\s*장"
 SECTION_CUE = r"(?<![0-9|])((?:[1-9]|1[0-9]|20)\.[0-9]{1,2})(?=\s*[A-Za-z가-힣])"
 SUBSECTION_CUE = r"(?<![\p{L}\p{N}_])([가-하])\.\s*"
 KOREAN_TERMINAL = r"(?:다|요|음|함|됨|임|것)\s*$"
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also inside lambdas of ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -55,7 +60,7 @@ def compact(c: Column) -> Column:
 
 def normalize_markup(c: Column) -> Column:
     """No byte order mark, plain spaces.  (NFC needs :func:`quillspark.sources.text.nfc`.)"""
-    return F.replace(F.replace(c, F.lit("﻿"), F.lit("")), F.lit(" "), F.lit(" "))
+    return F.replace(F.replace(c, F.lit("\ufeff"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
 
 
 def words(c: Column) -> Column:
@@ -80,8 +85,7 @@ def excerpt(c: Column, limit: int = 240, dots: bool = True) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without their ends; no last empty line; empty text has none."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def join_lines(c: Column) -> Column:
@@ -211,7 +215,8 @@ def merges(left: Column, right: Column) -> Column:
 
 def adjacent(ls: Column, test: Callable[[Column, Column], Column]) -> Column:
     """Whether two neighbours of an array pass ``test``."""
-    return F.exists(F.zip_with(F.slice(ls, 1, F.greatest(F.size(ls) - 1, F.lit(0))), F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), test), lambda x: F.coalesce(x, F.lit(False)))
+    n = lambda v: F.greatest(F.size(v) - 1, F.lit(0))
+    return let(ls, lambda v: F.exists(F.zip_with(F.slice(v, 1, n(v)), F.slice(v, 2, n(v)), test), lambda x: F.coalesce(x, F.lit(False))))
 
 
 def undecorated(c: Column) -> Column:

@@ -14,6 +14,11 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+# Types as objects: workers import this module without a session that could parse names.
+_STRING = StringType()
+_NORMALIZED = StructType().add("text", _STRING).add("applied", ArrayType(_STRING))
 
 _LIST = re.compile(r"([-*+]|\d+\.)\s+")
 _PAREN = re.compile(r"\(\d+\)\s+")
@@ -33,7 +38,7 @@ Transform = Callable[[list[str]], list[str]]
 def column(transform: Transform) -> Callable[[Column], Column]:
     """The transform as a function of a text column; an unchanged text is returned as it was."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(_STRING)
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             if not text:
@@ -340,7 +345,7 @@ def reconstruct_tables(lines: list[str]) -> list[str]:
 def page_edges(lines: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
     """Pages [marker, next marker) and short first or last lines that recur on two counts."""
     marks = [i for i, x in enumerate(lines) if _MARKER.match(x.strip())]
-    pages, seen = list(zip(marks, [*marks[1:], len(lines)], strict=True)), {}
+    pages, seen = list(zip(marks, [*marks[1:], len(lines)][: len(marks)], strict=True)), {}
     for a, b in pages:
         full = [x.strip() for x in lines[a + 1 : b] if x.strip()]
         for edge in (full[0], full[-1]) if len(full) > 1 else ():
@@ -373,7 +378,7 @@ NORMALIZATIONS: list[tuple[str, Transform]] = [
 ]
 
 
-@F.pandas_udf("text string, applied array<string>")
+@F.pandas_udf(_NORMALIZED)
 def normalized_tables(texts: pd.Series) -> pd.DataFrame:
     """The text after all steps, and the steps that changed it."""
     out = []
@@ -414,7 +419,7 @@ def restore_toc(lines: list[str], toc: list[dict]) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_STRING)
 def toc_restored(texts: pd.Series, tocs: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(restore_toc(t.splitlines(), [dict(e) for e in toc])) if t and toc is not None and len(toc) else t for t, toc in zip(texts, tocs, strict=True)])
 
@@ -447,6 +452,6 @@ def fuse_body(source: list[str], candidate: list[str], least: int = 4, share: fl
     return out if put else candidate
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_STRING)
 def body_fused(sources: pd.Series, candidates: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(fuse_body((s or "").splitlines(), (c or "").splitlines())) for s, c in zip(sources, candidates, strict=True)])

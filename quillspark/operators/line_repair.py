@@ -14,8 +14,9 @@ from quillspark.functions import text as T
 
 
 def _over_lines(text: Column, change: Callable[[Column], Column]) -> Column:
-    out = T.join_lines(change(T.lines(text)))
-    return F.when(F.size(T.lines(text)) == 0, text).when(text.endswith("\n") & (out != ""), F.concat(out, F.lit("\n"))).otherwise(out)
+    """``change`` on the text's lines, which are split once."""
+    done = T.let(T.let(T.lines(text), change), T.join_lines)
+    return T.let(done, lambda out: F.when(text.endswith("\n") & (out != ""), F.concat(out, F.lit("\n"))).otherwise(out))
 
 
 def _before(ls: Column, i: Column) -> Column:
@@ -37,9 +38,9 @@ def remove_repeated_lines(text: Column) -> Column:
 
     def change(ls: Column) -> Column:
         # Among full lines only a neighbour can repeat; blank lines stay where they are.
-        full = F.filter(F.transform(ls, lambda x, i: F.struct(F.lower(T.strip(x)).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
-        gone = F.transform(F.filter(full, lambda s, k: F.coalesce(F.get(full, k - 1)["x"] == s["x"], F.lit(False))), lambda s: s["i"])
-        return F.filter(ls, lambda x, i: ~F.array_contains(gone, i))
+        pairs = F.filter(F.transform(ls, lambda x, i: F.struct(F.lower(T.strip(x)).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
+        gone = T.let(pairs, lambda full: F.transform(F.filter(full, lambda s, k: F.coalesce(F.get(full, k - 1)["x"] == s["x"], F.lit(False))), lambda s: s["i"]))
+        return T.let(gone, lambda g: F.filter(ls, lambda x, i: ~F.array_contains(g, i)))
 
     return _over_lines(text, change)
 
@@ -48,8 +49,8 @@ def remove_duplicate_headings(text: Column) -> Column:
     """Of headings with one text, case aside, the first stays."""
 
     def change(ls: Column) -> Column:
-        heads = F.transform(ls, lambda x: F.when(x.rlike(T.HEADING), F.lower(T.strip(F.regexp_extract(x, T.HEADING, 1)))))
-        return F.filter(ls, lambda x, i: F.get(heads, i).isNull() | (F.array_position(heads, F.get(heads, i)) == i + 1))
+        found = F.transform(ls, lambda x: F.when(x.rlike(T.HEADING), F.lower(T.strip(F.regexp_extract(x, T.HEADING, 1)))))
+        return T.let(found, lambda heads: F.filter(ls, lambda x, i: F.get(heads, i).isNull() | (F.array_position(heads, F.get(heads, i)) == i + 1)))
 
     return _over_lines(text, change)
 
@@ -77,23 +78,26 @@ def normalize_table_layout(text: Column) -> Column:
 def remove_boundary_lines(text: Column) -> Column:
     """Short plain lines beside a blank line go if two or more are the same; then blanks collapse."""
 
-    def parts(ls: Column) -> tuple[Column, Column]:
-        beside = F.transform(ls, lambda x, i: (i == 0) | (i == F.size(ls) - 1) | T.blank(F.coalesce(F.get(ls, i - 1), F.lit(""))) | T.blank(F.coalesce(F.get(ls, i + 1), F.lit(""))))
-        found = F.filter(F.transform(ls, lambda x, i: F.when(F.get(beside, i) & T.boundary(x), F.lower(T.strip(x)))), lambda x: x.isNotNull())
-        again = F.array_distinct(F.filter(found, lambda x, i: F.array_position(found, x) < i + 1))
-        return beside, again
+    def beside(ls: Column) -> Column:
+        near = lambda i: T.blank(F.coalesce(F.get(ls, i - 1), F.lit(""))) | T.blank(F.coalesce(F.get(ls, i + 1), F.lit("")))
+        return F.transform(ls, lambda x, i: (i == 0) | (i == F.size(ls) - 1) | near(i))
 
-    ls = T.lines(text)
-    beside, again = parts(ls)
-    kept = T.join_lines(F.filter(ls, lambda x, i: ~(F.get(beside, i) & F.array_contains(again, F.lower(T.strip(x))))))
-    clean = F.regexp_replace(collapse_blank_lines(kept), r"^\n+|\n+$", "")
-    done = F.when(text.endswith("\n") & (clean != ""), F.concat(clean, F.lit("\n"))).otherwise(clean)
-    return F.when((F.size(ls) < 3) | (F.size(again) == 0), text).otherwise(done)
+    def repeated(ls: Column, edge: Column) -> Column:
+        found = F.filter(F.transform(ls, lambda x, i: F.when(F.get(edge, i) & T.boundary(x), F.lower(T.strip(x)))), lambda x: x.isNotNull())
+        return T.let(found, lambda f: F.array_distinct(F.filter(f, lambda x, i: F.array_position(f, x) < i + 1)))
+
+    def clean(ls: Column, edge: Column, again: Column) -> Column:
+        kept = T.join_lines(F.filter(ls, lambda x, i: ~(F.get(edge, i) & F.array_contains(again, F.lower(T.strip(x))))))
+        bare = F.regexp_replace(collapse_blank_lines(kept), r"^\n+|\n+$", "")
+        done = T.let(bare, lambda t: F.when(text.endswith("\n") & (t != ""), F.concat(t, F.lit("\n"))).otherwise(t))
+        return F.when((F.size(ls) < 3) | (F.size(again) == 0), text).otherwise(done)
+
+    return T.let(T.lines(text), lambda ls: T.let(beside(ls), lambda edge: T.let(repeated(ls, edge), lambda again: clean(ls, edge, again))))
 
 
 def has_duplicate_headings(text: Column) -> Column:
-    heads = F.filter(F.transform(T.lines(text), lambda x: F.when(x.rlike(T.HEADING), F.lower(T.strip(F.regexp_extract(x, T.HEADING, 1))))), lambda x: x.isNotNull())
-    return F.size(heads) > F.size(F.array_distinct(heads))
+    found = F.filter(F.transform(T.lines(text), lambda x: F.when(x.rlike(T.HEADING), F.lower(T.strip(F.regexp_extract(x, T.HEADING, 1))))), lambda x: x.isNotNull())
+    return T.let(found, lambda heads: F.size(heads) > F.size(F.array_distinct(heads)))
 
 
 def has_layout_noise(text: Column) -> Column:
@@ -115,16 +119,15 @@ def has_images(text: Column) -> Column:
 
 def first_index(text: Column, test: Callable[[Column, Column, Column], Column]) -> Column:
     """Number of the first line that passes test(lines, line, number); null if none."""
-    ls = T.lines(text)
-    hits = F.filter(F.transform(ls, lambda x, i: F.when(test(ls, x, i), i)), lambda i: i.isNotNull())
-    return F.get(hits, F.lit(0))
+    return T.let(T.lines(text), lambda ls: F.get(F.filter(F.transform(ls, lambda x, i: F.when(test(ls, x, i), i)), lambda i: i.isNotNull()), F.lit(0)))
 
 
 def first_duplicate_line(text: Column) -> Column:
     """First line of over five characters that occurred before."""
-    norm = F.transform(T.lines(text), T.normalize)
-    hits = F.filter(F.transform(norm, lambda x, i: F.when((F.length(x) > 5) & (F.array_position(norm, x) < i + 1), i)), lambda i: i.isNotNull())
-    return F.get(hits, F.lit(0))
+    def first(norm: Column) -> Column:
+        return F.get(F.filter(F.transform(norm, lambda x, i: F.when((F.length(x) > 5) & (F.array_position(norm, x) < i + 1), i)), lambda i: i.isNotNull()), F.lit(0))
+
+    return T.let(F.transform(T.lines(text), T.normalize), first)
 
 
 def first_wrapped_line(text: Column) -> Column:

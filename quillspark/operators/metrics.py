@@ -82,24 +82,25 @@ def structured_tables(source: Column, candidate: Column) -> Column:
 
 def blank_penalty(candidate: Column) -> Column:
     """Blank lines behind a blank line, per line."""
-    ls = T.lines(candidate)
-    extra = F.size(F.filter(F.transform(ls, lambda x, i: T.blank(x) & F.coalesce(T.blank(F.get(ls, i - 1)), F.lit(False))), lambda b: b))
-    return S.clamp(extra.cast("double") / F.greatest(F.size(ls), F.lit(1)))
+    def share(blanks: Column) -> Column:
+        extra = F.size(F.filter(blanks, lambda b, i: b & F.coalesce(F.get(blanks, i - 1), F.lit(False))))
+        return extra.cast("double") / F.greatest(F.size(blanks), F.lit(1))
+
+    return T.let(F.transform(T.lines(candidate), T.blank), share)
 
 
 def repetition_penalty(candidate: Column) -> Column:
     """Full lines that equal an earlier one, per full line."""
-    ls = F.transform(full_lines(T.lines(candidate)), T.normalize)
-    return F.when(F.size(ls) == 0, 0.0).otherwise((F.size(ls) - F.size(F.array_distinct(ls))).cast("double") / F.nullif(F.size(ls), F.lit(0)))
+    share = lambda ls: F.when(F.size(ls) == 0, 0.0).otherwise((F.size(ls) - F.size(F.array_distinct(ls))).cast("double") / F.nullif(F.size(ls), F.lit(0)))
+    return T.let(F.transform(full_lines(T.lines(candidate)), T.normalize), share)
 
 
 def content_stats(text: Column) -> Column:
     """Characters, words, full lines, headings and an estimate of table rows."""
-    ls = T.lines(text)
-    return F.struct(
+    return T.let(T.lines(text), lambda ls: F.struct(
         F.length(text).alias("chars"), T.n_fields(text).alias("words"), F.size(full_lines(ls)).alias("lines"),
         F.size(F.filter(ls, lambda x: T.strip(x).startswith("#"))).alias("headings"), F.floor(F.size(F.filter(ls, T.any_bar)) / 2).cast("int").alias("tables"),
-    )
+    ))
 
 
 def pdf_cues(text: Column) -> Column:
@@ -145,13 +146,16 @@ def column_counts(block: Column) -> Column:
 
 def block_consistency(block: Column) -> Column:
     """Share of rows with the most frequent column count (ties: the first met); null for single rows."""
-    counts = column_counts(block)
-    positive = F.filter(counts, lambda x: x > 0)
-    size_of = lambda v: F.size(F.filter(positive, lambda y: y == v))
-    ranked = F.transform(F.array_distinct(positive), lambda v, i: F.struct(size_of(v).alias("n"), (-i).alias("i"), v.alias("v")))
-    mode = F.array_max(ranked)["v"]
-    share = F.when(F.size(positive) == 0, 0.0).otherwise(F.size(F.filter(counts, lambda x: x == mode)).cast("double") / F.nullif(F.size(counts), F.lit(0)))
-    return F.when(F.size(counts) >= 2, share)
+    def mode(positive: Column) -> Column:
+        ranked = F.transform(F.array_distinct(positive), lambda v, i: F.struct(F.size(F.filter(positive, lambda y: y == v)).alias("n"), (-i).alias("i"), v.alias("v")))
+        return F.array_max(ranked)["v"]
+
+    def share(counts: Column) -> Column:
+        most = T.let(F.filter(counts, lambda x: x > 0), mode)
+        same = T.let(most, lambda m: F.coalesce(F.size(F.filter(counts, lambda x: x == m)), F.lit(0)))
+        return F.when(F.size(counts) >= 2, F.when(most.isNull(), 0.0).otherwise(same.cast("double") / F.nullif(F.size(counts), F.lit(0))))
+
+    return T.let(column_counts(block), share)
 
 
 def table_consistency(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores as S
+from quillspark.functions import text as T
 from quillspark.operators import folds
 from quillspark.operators import metrics as M
 from quillspark.plans import planner as P
@@ -35,16 +36,46 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def repair_once(rows: DataFrame) -> DataFrame:
-    """Apply all directives of ``rows.plan`` to ``candidate`` in order; ``applied`` lists those that changed it."""
+def _named(issue_type: str):
+    return lambda x: x["issue_type"] == issue_type
+
+
+def repair_once(rows: DataFrame, folder: str) -> DataFrame:
+    """Apply the directives of ``rows.plan`` to ``candidate`` in order; ``applied`` lists those that changed it.
+
+    Neighbouring native steps are one expression that binds each step's text once.  A
+    step in Arrow batches ends a stage, which is written, so plans do not multiply.
+    """
+    rest = [c for c in rows.columns if c != "candidate"]
     out = rows.withColumn("applied", F.array().cast("array<string>"))
-    for d in P.CATALOGUE:
-        if d.apply is None:
+    state = F.struct(F.col("candidate").alias("text"), F.col("applied").alias("applied"))
+
+    def stage(df: DataFrame, steps: list[P.Directive]) -> DataFrame:
+        s = state
+        for d in steps:
+            s = T.let(s, _native(d))
+        return df.select(*rest, s.alias("s")).select(*rest, F.col("s.text").alias("candidate"), F.col("s.applied").alias("applied"))
+
+    def _native(d: P.Directive):
+        asked = F.exists("plan", _named(d.issue_type))
+        return lambda s: T.let(F.when(asked, d.apply(s["text"])).otherwise(s["text"]), _noted(s, d.action_name))
+
+    native: list[P.Directive] = []
+    for k, d in enumerate(x for x in P.CATALOGUE if x.apply is not None):
+        if not d.in_python:
+            native.append(d)
             continue
-        asked = F.exists("plan", lambda x, name=d.issue_type: x["issue_type"] == name)
-        after = F.when(asked, d.apply(F.col("candidate"))).otherwise(F.col("candidate"))
-        out = out.withColumn("next", after).withColumn("applied", F.when(F.col("next") != F.col("candidate"), F.concat("applied", F.array(F.lit(d.action_name)))).otherwise(F.col("applied"))).drop("candidate").withColumnRenamed("next", "candidate")
-    return out
+        out = stage(out, native) if native else out
+        native = []
+        after = F.when(F.exists("plan", _named(d.issue_type)), F.col("next")).otherwise(F.col("candidate"))
+        changed = out.withColumn("next", d.apply(F.col("candidate")))
+        noted = F.when(after != F.col("candidate"), F.concat("applied", F.array(F.lit(d.action_name)))).otherwise(F.col("applied"))
+        out = _written(changed.select(*rest, after.alias("candidate"), noted.alias("applied")), f"{folder}/{k}")
+    return stage(out, native) if native else out
+
+
+def _noted(before, name: str):
+    return lambda text: F.struct(text.alias("text"), F.when(text != before["text"], F.concat(before["applied"], F.array(F.lit(name)))).otherwise(before["applied"]).alias("applied"))
 
 
 def run(df: DataFrame, keys: list[str], rounds: int = S.MAX_ROUNDS, similarity=None) -> DataFrame:
@@ -64,7 +95,7 @@ def run(df: DataFrame, keys: list[str], rounds: int = S.MAX_ROUNDS, similarity=N
         todo = state.filter(P.needs_repair(F.lit(k - 1), F.col("gate_failures"), F.lit(0)))
         m = P.inputs(todo, content=F.col("candidate"))
         planned = todo.withColumn("plan", P.directives(m)).filter(F.size("plan") > 0)
-        repaired = repair_once(planned.select(*keys, "source", "candidate", "plan")).filter(F.size("applied") > 0)
+        repaired = repair_once(planned.select(*keys, "source", "candidate", "plan"), f"{folder}/steps-{k}").filter(F.size("applied") > 0)
         state = scored(repaired.select(*keys, "source", "candidate", "applied"), k)
         history = history.unionByName(state.select(*columns))
         if state.isEmpty():

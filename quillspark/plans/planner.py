@@ -33,6 +33,7 @@ class Directive:
     action_name: str
     when: Callable[[dict[str, Column]], Column]
     apply: Callable[[Column], Column] | None = None
+    in_python: bool = False
 
 
 def _low(name: str, limit: float) -> Callable[[dict[str, Column]], Column]:
@@ -51,15 +52,15 @@ CATALOGUE = [
     Directive("table_cross_parser_fusion", "fuse_tables_from_alternate_parser", "fuse_tables_from_alternate", _pdf(lambda m: F.coalesce(m["table_cell_similarity"] < 0.7, F.lit(False)) | (m["table_preservation"] < 0.75))),
     Directive("text_coverage_missing_lines", "recover_missing_source_lines", "recover_missing_structured_source_lines", lambda m: (m["text_coverage"] < 0.72) & m["missing_lines"]),
     Directive("table_layout_noise", "normalize_table_layout", "normalize_table_layout", lambda m: ~m["defer_tables"] & ((m["table_preservation"] < 0.75) | R.has_layout_noise(m["content"])), R.normalize_table_layout),
-    Directive("table_text_block_recovery", "reconstruct_table_blocks", "reconstruct_table_text_blocks", lambda m: ~m["defer_tables"] & (m["table_preservation"] < 0.75) & R.has_key_value_run(m["content"]), folds.column(folds.reconstruct_tables)),
+    Directive("table_text_block_recovery", "reconstruct_table_blocks", "reconstruct_table_text_blocks", lambda m: ~m["defer_tables"] & (m["table_preservation"] < 0.75) & R.has_key_value_run(m["content"]), folds.column(folds.reconstruct_tables), in_python=True),
     Directive("structure_toc_headings", "restore_headings_from_toc", "restore_headings_from_toc", _pdf(_low("structure_retention", 0.75))),
     Directive("structure_heading_noise", "deduplicate_headings", "remove_duplicate_headings", lambda m: (m["structure_retention"] < 0.75) | R.has_duplicate_headings(m["content"]), R.remove_duplicate_headings),
     Directive("blank_line_noise", "collapse_blank_runs", "collapse_blank_lines", lambda m: m["empty_block_penalty"] > 0, R.collapse_blank_lines),
-    Directive("pdf_header_footer_noise", "deduplicate_pdf_headers", "remove_repeated_pdf_header_footer_lines", _pdf(lambda m: (m["repetition_penalty"] > 0) & m["page_edges"]), folds.column(folds.remove_page_edges)),
+    Directive("pdf_header_footer_noise", "deduplicate_pdf_headers", "remove_repeated_pdf_header_footer_lines", _pdf(lambda m: (m["repetition_penalty"] > 0) & m["page_edges"]), folds.column(folds.remove_page_edges), in_python=True),
     Directive("boundary_repetition_noise", "deduplicate_boundaries", "remove_repeated_boundary_lines", lambda m: m["repetition_penalty"] > 0, R.remove_boundary_lines),
     Directive("line_repetition_noise", "deduplicate_lines", "remove_repeated_lines", lambda m: m["repetition_penalty"] > 0, R.remove_repeated_lines),
-    Directive("wrapped_line_noise", "merge_wrapped_lines", "merge_wrapped_lines", lambda m: R.has_wrapped_lines(m["content"]), folds.column(folds.merge_wrapped)),
-    Directive("pdf_block_boundary_noise", "restore_pdf_boundaries", "restore_pdf_boundaries", _pdf(lambda m: (m["structure_retention"] < 0.75) & m["boundaries_change"]), folds.column(folds.restore_boundaries)),
+    Directive("wrapped_line_noise", "merge_wrapped_lines", "merge_wrapped_lines", lambda m: R.has_wrapped_lines(m["content"]), folds.column(folds.merge_wrapped), in_python=True),
+    Directive("pdf_block_boundary_noise", "restore_pdf_boundaries", "restore_pdf_boundaries", _pdf(lambda m: (m["structure_retention"] < 0.75) & m["boundaries_change"]), folds.column(folds.restore_boundaries), in_python=True),
 ]
 BY_ISSUE = {d.issue_type: d for d in CATALOGUE}
 

@@ -476,10 +476,10 @@ def missing_structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query(f"""{_SW}, once AS (SELECT doc_id, n, min(i) AS i, arg_min({O.strip("x")}, i) AS line, arg_min(p, i) AS p, arg_min(q, i) AS q FROM (SELECT *, coalesce(p, '') AS p0 FROM w) WHERE n <> '' AND there IS NULL AND (p IS NOT NULL OR q IS NOT NULL) GROUP BY doc_id, n),
-put AS (SELECT o.doc_id, coalesce(a.f, b.f + 1) AS at, 0 AS own, o.i, o.line FROM (SELECT u.doc_id, u.i, u.n, w2.p, w2.q, {O.strip("w2.x")} AS line FROM once u JOIN w w2 ON u.doc_id = w2.doc_id AND u.i = w2.i) o LEFT JOIN c a ON o.doc_id = a.doc_id AND o.q = a.n LEFT JOIN c b ON o.doc_id = b.doc_id AND o.p = b.n),
-whole AS (SELECT doc_id, at, own, i, line FROM put UNION ALL SELECT doc_id, i, 1, i, x FROM (SELECT doc_id, unnest(cl) AS x, generate_subscripts(cl, 1) - 1 AS i FROM d))
-SELECT doc_id, string_agg(line, chr(10) ORDER BY at, own, i) AS recovered FROM whole GROUP BY doc_id""")
+@query(f"""{_SW}, once AS (SELECT doc_id, n, min(i) AS i FROM w WHERE n <> '' AND there IS NULL AND (p IS NOT NULL OR q IS NOT NULL) GROUP BY doc_id, n),
+put AS (SELECT o.doc_id, coalesce(a.f, b.f + 1) AS pos, 0 AS own, o.i, o.line FROM (SELECT u.doc_id, u.i, u.n, w2.p, w2.q, {O.strip("w2.x")} AS line FROM once u JOIN w w2 ON u.doc_id = w2.doc_id AND u.i = w2.i) o LEFT JOIN c a ON o.doc_id = a.doc_id AND o.q = a.n LEFT JOIN c b ON o.doc_id = b.doc_id AND o.p = b.n),
+whole AS (SELECT doc_id, pos, own, i, line FROM put UNION ALL SELECT doc_id, i, 1, i, x FROM (SELECT doc_id, unnest(cl) AS x, generate_subscripts(cl, 1) - 1 AS i FROM d))
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos, own, i) AS recovered FROM whole GROUP BY doc_id""")
 def recover_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.recover_lines(damaged(spark, sf_dir), DOC, "source", "candidate", wanted=lambda x: F.lit(True))
 
@@ -601,11 +601,12 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "strategy", "route_name", "n_targets", "risk_level", "confidence", F.col("priority").cast("long").alias("priority"), "skip_reason", "verification_rule", F.col("step").cast("long").alias("step"))
 
 
-@query(f"""WITH {_TARGETS} SELECT user_id, strategy, route_name, round(sum(CASE WHEN gain > 0 THEN gain ELSE CASE strategy WHEN 'visual_table_repair' THEN 0.08 WHEN 'llm_text_repair' THEN 0.05 ELSE 0.03 END END)::DOUBLE, 2) AS gain,
-round(sum(CASE WHEN cost > 0 THEN cost ELSE CASE strategy WHEN 'visual_table_repair' THEN 1.0 WHEN 'llm_text_repair' THEN 0.5 ELSE 0.0 END END)::DOUBLE, 2) AS cost FROM t GROUP BY ALL""")
+@query(f"""WITH {_TARGETS} SELECT user_id, strategy, route_name, sum(CASE WHEN gain > 0 THEN (gain * 10000)::BIGINT ELSE CASE strategy WHEN 'visual_table_repair' THEN 800 WHEN 'llm_text_repair' THEN 500 ELSE 300 END END)::BIGINT AS gain_e4,
+sum(CASE WHEN cost > 0 THEN (cost * 10000)::BIGINT ELSE CASE strategy WHEN 'visual_table_repair' THEN 10000 WHEN 'llm_text_repair' THEN 5000 ELSE 0 END END)::BIGINT AS cost_e4 FROM t GROUP BY ALL""")
 def plan_step_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains and costs in units of 0.0001, to which steps are rounded."""
     rows = P.plan_steps(_targets(spark, sf_dir), ["user_id"])
-    return rows.select("user_id", "strategy", "route_name", F.round("expected_gain", 2).alias("gain"), F.round("estimated_cost", 2).alias("cost"))
+    return rows.select("user_id", "strategy", "route_name", F.round(F.col("expected_gain") * 10000).cast("long").alias("gain_e4"), F.round(F.col("estimated_cost") * 10000).cast("long").alias("cost_e4"))
 
 
 _ROUNDS = "r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS round, floor(value)::DOUBLE AS total_score FROM events WHERE value IS NOT NULL)"

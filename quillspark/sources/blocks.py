@@ -11,7 +11,7 @@ ENCODINGS = ("utf-8", "utf-8-sig", "cp949", "euc-kr")
 
 def normalize(text: str) -> str:
     """No byte order mark, plain spaces, NFC."""
-    return unicodedata.normalize("NFC", text.replace("﻿", "").replace(" ", " "))
+    return unicodedata.normalize("NFC", text.replace("\ufeff", "").replace("\u00a0", " "))
 
 
 def decode(raw: bytes) -> str:
