@@ -15,7 +15,9 @@ from quillspark.functions import grids as G
 from quillspark.functions import labels as L
 from quillspark.functions import scores as S
 from quillspark.functions import text as T
-from quillspark.operators import folds, golden, monitoring
+from quillspark.functions import geometry as B
+from quillspark.operators import folds, golden, judging, monitoring
+from quillspark.operators import tables as tables_of
 from quillspark.operators import line_repair as R
 from quillspark.operators import metrics as M
 from quillspark.operators import recovery as V
@@ -809,3 +811,57 @@ def report_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(t).alias("excerpt"), F.length(T.compact(t)).cast("long").alias("n_compact"))
+
+
+# Tables of one text against another's; boxes; judges
+
+
+@query()
+def table_cell_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids against the Markdown of their damaged forms, cell by cell."""
+    rows = grids(spark, sf_dir).filter(F.size("b") > 0)
+    return rows.select("order_id", tables_of.grids_similarity(F.array("a"), G.markdown(_with_header(F.col("b")))).alias("similarity"))
+
+
+@query()
+def pdf_table_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged(spark, sf_dir).select("doc_id", tables_of.pdf_table_preservation("source", "candidate").alias("table_preservation"))
+
+
+@query("""WITH n AS (SELECT r_name, string_agg('| ' || r_name || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS body FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name)
+SELECT r_name, '| place / region | place / nation |' || chr(10) || '| --- | --- |' || chr(10) || body AS markdown FROM n""")
+def html_table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as HTML tables whose first cell spans all rows."""
+    n = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = n.groupBy("r_name").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    first = F.concat(F.lit('<tr><td rowspan="'), F.size("ns").cast("string"), F.lit('">'), F.col("r_name"), F.lit("</td><td>"), F.get("ns", F.lit(0))["n_name"], F.lit("</td></tr>"))
+    rest = F.array_join(F.transform(F.slice("ns", 2, F.greatest(F.size("ns") - 1, F.lit(0))), lambda s: F.concat(F.lit("<tr><td>"), s["n_name"], F.lit("</td></tr>"))), "")
+    head = F.lit('<table><tr><th colspan="2">place</th></tr><tr><th>region</th><th>nation</th></tr>')
+    return rows.select("r_name", tables_of.html_tables_as_markdown(F.concat(head, first, rest, F.lit("</table>"))).alias("markdown"))
+
+
+_BOXES = "b AS (SELECT event_id, (event_id % 7)::DOUBLE AS x0, (event_id % 5)::DOUBLE AS y0, (event_id % 7 + 4)::DOUBLE AS x1, (event_id % 5 + 2)::DOUBLE AS y1 FROM events)"
+
+
+@query(f"""WITH {_BOXES}, o AS (SELECT *, greatest(0.0::DOUBLE, least(x1, 8.0) - greatest(x0, 2.0)) AS w, greatest(0.0::DOUBLE, least(y1, 5.0) - greatest(y0, 1.0)) AS h FROM b)
+SELECT event_id, w * h / 8.0::DOUBLE AS overlap, h / 2.0::DOUBLE AS vertical, w * h / 8.0 >= 0.6 OR (h / 2.0 >= 0.85 AND w * h > 0) AS covered, greatest(0.0::DOUBLE, x0 - 1)::BIGINT AS left_edge, least(9.0::DOUBLE, x1 + 1)::BIGINT AS right_edge FROM o""")
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    a = B.box((e % 7).cast("double"), (e % 5).cast("double"), (e % 7 + 4).cast("double"), (e % 5 + 2).cast("double"))
+    rows = table(spark, sf_dir, "events").select("event_id", a.alias("a"), B.box(*map(F.lit, (2.0, 1.0, 8.0, 5.0))).alias("t"))
+    wide = B.expand(F.col("a"), F.lit(1.0), F.lit(9.0), F.lit(9.0))
+    return rows.select("event_id", B.overlap_ratio(F.col("a"), F.col("t")).alias("overlap"), B.vertical_overlap_ratio(F.col("a"), F.col("t")).alias("vertical"), B.covered_by_table(F.col("a"), F.col("t")).alias("covered"), wide["x0"].cast("long").alias("left_edge"), wide["x1"].cast("long").alias("right_edge"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 END::DOUBLE AS overall_score, CASE event_id % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'one' ELSE '' END AS issues FROM events""")
+def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as plain JSON, fenced, between other words, and unreadable."""
+    k = F.col("event_id") % 4
+    answer = F.when(k == 0, '{"overall_score": 0.5, "issues": ["a", "b"]}').when(k == 1, 'so:\n```json\n{"overall_score": 7, "issues": "one"}\n```').when(k == 2, 'I say {"overall_score": "0.25"} here').otherwise("no idea {")
+    v = judging.verdict(answer)
+    return table(spark, sf_dir, "events").select("event_id", v["overall_score"].alias("overall_score"), F.array_join(v["issues"], ",").alias("issues"))
+
+
+@query()
+def judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.judged(damaged(spark, sf_dir), DOC, "source", "candidate").select("doc_id", "verdict.overall_score", "verdict.issues")

@@ -29,5 +29,5 @@ def append_feedback(records: DataFrame, folder: str) -> None:
 
 def read_feedback(spark, folder: str) -> DataFrame:
     """Records that parse; malformed lines are dropped."""
-    schema = "seq bigint, run_id string, total_score double, issues array<string>, notes array<string>, _bad string"
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(folder).filter("_bad IS NULL").drop("_bad")
+    schema = "seq bigint, run_id string, total_score double, issues array<string>, notes array<string>"
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
