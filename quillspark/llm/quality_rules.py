@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Per cent of a document's words that removed lines may hold.
-MOST_LOST = 30
+MOST_LOST = 50
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"

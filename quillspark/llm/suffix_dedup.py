@@ -260,7 +260,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("row_key"))
     keys = found.select("text_key", "keeper", "removable", "copies")
     joined = packed.join(keys, "text_key", "left")
-    n_words = F.regexp_count(F.col("r")[text_col], F.lit(r"[^\x20\x09-\x0D]+"))
+    n_words = F.regexp_count(F.coalesce(F.col("r")[text_col], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     stays = F.col("keeper").isNull() | (F.col("row_key") == F.col("keeper")) | (n_words < LENGTH)
     kept = joined.filter(stays).select("r", "removable", "row_key", F.coalesce("copies", F.lit(1)).alias("copies"), (n_words >= LENGTH).alias("long"))
     # Rows that repeat whole have one row key: one of them stays.
