@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     from quillspark.session import session
 
     folder = tmp_path_factory.mktemp("checkpoints")
-    s = session("tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{folder}", "spark.driver.memory": "4g"})
+    s = session("tests", **{"spark.master": "local[2]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{folder}", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
