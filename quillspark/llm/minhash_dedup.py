@@ -8,11 +8,13 @@ probability Jaccard similarity of their weighted shingles.  Registers are cut in
 bands; texts that agree in a band share a bucket.
 
 Exact copies are one text.  Inside a bucket no pairs are listed.  In
-each round some of its texts (the leaders: from the smallest components, doubling by
-round) are compared with those members that are not yet known to be in the leader's
-component, by the exact Jaccard similarity of their shingle sets, and then leave the bucket;
-a bucket is done when all its members are in one component.  So every link between
-two texts of a bucket is found or implied by found ones: classes are the same as if all
+each round some of its texts (the leaders: first the one in most company, then those of
+the smallest components) meet those members that are not yet known to be in the leader's component, and
+then leave the bucket; a bucket is done when all its members are in one component.  A
+leader and a member whose sketches (four bits of each of 256 registers) estimate the similarity
+near the threshold or above are verified by the exact Jaccard similarity of their shingle
+sets; the estimate is part of the join's condition.  So every link between two
+texts of a bucket is found or implied by found ones: classes are the same as if all
 pairs had been compared, and nothing is capped.  Components come from label
 propagation with pointer jumping on tables in the shared folder.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, window_hashes
@@ -39,6 +41,12 @@ from quillspark.llm._store import shared_folder, written
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 > 0.9996.
 BANDS, ROWS = 20, 5
+#: Registers of the sketch; the bands use the first of them.
+REGISTERS = 256
+#: Registers that may differ in a pair that is verified; at similarity 0.8 more do so with probability 0.0005.
+MOST_DIFFERENT = 68
+#: Leaders of a bucket: one in the first round, then this many to the power of the round.
+LEADERS = 64
 
 
 def elements(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,18 +85,53 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 
 def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tk, rk, text) to (doc_id, tk, rk, buckets)."""
+    """(doc_id, tk, rk, text) to (doc_id, tk, rk, buckets, sketch)."""
     place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     for batch in rows:
         buckets: list[np.ndarray | None] = []
+        sketches: list[np.ndarray] = []
         for _, _, words in column_words(batch.column(3), NOT_SPACE):
             doc, element, weight = elements(words)
-            sig = prob_minhash(doc, element, weight, words.n_docs, BANDS * ROWS).reshape(words.n_docs, BANDS, ROWS)
+            sig = prob_minhash(doc, element, weight, words.n_docs, REGISTERS)
+            rows_of = sig[:, : BANDS * ROWS].reshape(words.n_docs, BANDS, ROWS)
             band = np.zeros((words.n_docs, BANDS), dtype=np.uint64) + place
             for r in range(ROWS):
-                band = mix(band ^ sig[:, :, r])
+                band = mix(band ^ rows_of[:, :, r])
             buckets += [b if n else None for b, n in zip(band.view(np.int64), words.per_doc, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "tk", "rk", "buckets"])
+            sketches += list(np.concatenate([_packed(mix(sig), 4), _packed(band, 32)], axis=1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tk", "rk", "buckets", "sketch"])
+
+
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of each value, side by side in 64-bit numbers."""
+    each = 64 // bits
+    n = -(-values.shape[1] // each)
+    low = np.zeros((len(values), n * each), dtype=np.uint64)
+    low[:, : values.shape[1]] = values & np.uint64((1 << bits) - 1)
+    return (low.reshape(len(values), n, each) << (np.arange(each, dtype=np.uint64) * np.uint64(bits))).sum(axis=2, dtype=np.uint64)
+
+
+_WIDE = REGISTERS // 16
+
+
+def _mismatches(a: Column, b: Column) -> Column:
+    """Registers in which two sketches differ."""
+    total = F.lit(0)
+    for k in range(_WIDE):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _met_before(a: Column, b: Column, band: Column) -> Column:
+    """Whether two sketches share an earlier band: the pair is met there."""
+    out = F.lit(False)
+    for j in range(BANDS - 1):
+        half = lambda c: F.shiftrightunsigned(c[_WIDE + j // 2], 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF))  # noqa: B023, E731
+        out = out | ((band > j) & (half(a) == half(b)))
+    return out
 
 
 def _similarities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,27 +177,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     spark = docs.sparkSession
     folder, rows = shared_folder(spark, "near-duplicates"), _identified(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, tk binary, rk long, buckets array<bigint>"), f"{folder}/signatures")
+    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, tk binary, rk long, buckets array<bigint>, sketch array<bigint>"), f"{folder}/signatures")
     texts = signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.min("rk").alias("rk"))
-    buckets = signed.select("tk", F.explode("buckets").alias("bucket"))
+    buckets = signed.select("tk", F.posexplode("buckets").alias("band", "bucket"))
     h = F.xxhash64("tk")
     several = buckets.groupBy("bucket").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("bucket")
     members = written(buckets.join(several, "bucket").distinct(), f"{folder}/members")
-    needed = members.select("tk").distinct().join(texts.select("tk", "rk"), "tk").select("rk")
-    pool = written(rows.join(needed, "rk").groupBy("tk").agg(F.first("text").alias("text")), f"{folder}/texts")
+    needed = members.select("tk").distinct().join(texts.select("tk", "rk"), "tk")
+    pool = written(rows.join(needed.select("rk"), "rk").groupBy("tk").agg(F.first("text").alias("text")), f"{folder}/texts")
+    sketches = written(signed.join(needed.select("rk"), "rk").groupBy("tk").agg(F.first("sketch").alias("sketch")), f"{folder}/sketches")
 
     links = roots = tried = None
     active, k = members.withColumn("root", F.col("tk")), 0
     while True:
-        # Leaders: members of the smallest components within the bucket, twice as many each round.
-        sizes = active.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        ranked = active.join(sizes, ["bucket", "root"]).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.xxhash64("tk"), "tk")))
-        leaders = written(ranked.filter(F.col("rank") <= (1 << k)).select("bucket", F.col("tk").alias("leader"), F.col("root").alias("of")), f"{folder}/leaders-{k}")
-        met = active.join(leaders, "bucket").filter("root <> of")
+        # First leaders: the text with most company over its buckets, which is the middle of a group of copies.
+        # Later ones: members of the smallest components within the bucket.
+        if k == 0:
+            company = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("tk").agg((-F.sum("n")).alias("size"))
+            weighed = active.join(company, "tk")
+        else:
+            weighed = active.join(active.groupBy("bucket", "root").agg(F.count("*").alias("size")), ["bucket", "root"])
+        ranked = weighed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.xxhash64("tk"), "tk")))
+        first = ranked.filter(F.col("rank") <= LEADERS ** min(k, 4)).select("bucket", F.col("tk").alias("leader"), F.col("root").alias("of"))
+        leaders = written(first.join(sketches.select(F.col("tk").alias("leader"), F.col("sketch").alias("own")), "leader"), f"{folder}/leaders-{k}")
+        met = active.join(sketches, "tk").join(leaders, "bucket").filter((F.col("root") != F.col("of")) & (_mismatches(F.col("sketch"), F.col("own")) <= MOST_DIFFERENT) & ~_met_before(F.col("sketch"), F.col("own"), F.col("band")))
         pairs = met.select(F.least("tk", "leader").alias("a"), F.greatest("tk", "leader").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"{folder}/pairs-{k}")
         sides = pairs.join(pool.select(F.col("tk").alias("a"), F.col("text").alias("text_a")), "a").join(pool.select(F.col("tk").alias("b"), F.col("text").alias("text_b")), "b")
         verified = written(sides.select("a", "b", "text_a", "text_b").mapInArrow(_similarities, "a binary, b binary, similarity double"), f"{folder}/verified-{k}")
         tried = verified.select("a", "b") if tried is None else tried.unionByName(verified.select("a", "b"))
@@ -162,7 +211,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         links = found if links is None else links.unionByName(found)
         roots = connected(links, f"{folder}/components-{k}")
         left = active.drop("root").join(leaders.select("bucket", F.col("leader").alias("tk")), ["bucket", "tk"], "left_anti")
-        left = left.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("bucket", "tk", F.coalesce("root", "tk").alias("root"))
+        left = left.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("bucket", "band", "tk", F.coalesce("root", "tk").alias("root"))
         mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
         active = written(left.join(mixed, "bucket"), f"{folder}/active-{k}")
         k += 1
