@@ -180,3 +180,24 @@ def _cut_with(sets, k: int, k_chars: int | None):
 
 def sha_of_items(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: :func:`contamination_report` for DuckDB.
+REPORT_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT item, w, least({WINDOW}, len(w)) AS size, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT rid, i, size, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)),
+h AS (SELECT rid, i, size, item FROM dw JOIN bw USING (size, g)),
+n AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM (SELECT rid, i, unnest(range(0, size)) AS k FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT rid, item FROM h WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
+"""

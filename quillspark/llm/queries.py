@@ -100,9 +100,9 @@ QUERIES = {
 
 
 def _oracles() -> dict[str, str]:
-    from quillspark.llm import chat_format, quality_rules
+    from quillspark.llm import chat_format, decontaminate, quality_rules
 
-    return {"op1_quality_rules": quality_rules.REPORT_SQL, "op4_chat_format": chat_format.REPORT_SQL}
+    return {"op1_quality_rules": quality_rules.REPORT_SQL, "op4_chat_format": chat_format.REPORT_SQL, "op6_decontamination": decontaminate.REPORT_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
