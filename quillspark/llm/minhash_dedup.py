@@ -11,9 +11,9 @@ Exact copies are one text.  Inside a bucket no pairs are listed.  In
 each round some of its texts (the leaders: first the one in most company, then those of
 the smallest components) meet those members that are not yet known to be in the leader's component, and
 then leave the bucket; a bucket is done when all its members are in one component.  A
-leader and a member whose sketches (four bits of each of 256 registers) estimate the similarity
+leader and a member whose sketches (four bits of each register) estimate the similarity
 near the threshold or above are verified by the exact Jaccard similarity of their shingle
-sets; the estimate is part of the join's condition.  So every link between two
+sets; no other pair is written.  So every link between two
 texts of a bucket is found or implied by found ones: classes are the same as if all
 pairs had been compared, and nothing is capped.  Components come from label
 propagation with pointer jumping on tables in the shared folder.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, window_hashes
@@ -42,11 +42,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 > 0.9996.
 BANDS, ROWS = 20, 5
 #: Registers of the sketch; the bands use the first of them.
-REGISTERS = 256
-#: Registers that may differ in a pair that is verified; at similarity 0.8 more do so with probability 0.0005.
-MOST_DIFFERENT = 68
-#: Leaders of a bucket: one in the first round, then this many to the power of the round.
-LEADERS = 64
+REGISTERS = 384
+#: Registers that may differ in a pair that is verified; at similarity 0.8 more do so with probability 0.0004.
+MOST_DIFFERENT = 98
+#: Leaders of a bucket: one in the first round, then this many to the power of the round, as far as ``HELD``.
+LEADERS, HELD = 64, 4096
+#: Members of a bucket that meet its leaders in one task; larger buckets are dealt over several.
+DEALT = 20_000
 
 
 def elements(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     for batch in rows:
         buckets: list[np.ndarray | None] = []
-        sketches: list[np.ndarray] = []
+        sketches: list[bytes] = []
         for _, _, words in column_words(batch.column(3), NOT_SPACE):
             doc, element, weight = elements(words)
             sig = prob_minhash(doc, element, weight, words.n_docs, REGISTERS)
@@ -98,8 +100,9 @@ def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 band = mix(band ^ rows_of[:, :, r])
             buckets += [b if n else None for b, n in zip(band.view(np.int64), words.per_doc, strict=True)]
-            sketches += list(np.concatenate([_packed(mix(sig), 4), _packed(band, 32)], axis=1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "tk", "rk", "buckets", "sketch"])
+            whole = np.concatenate([_packed(mix(sig), 4), _packed(band, 32)], axis=1)
+            sketches += [w.tobytes() for w in whole]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "tk", "rk", "buckets", "sketch"])
 
 
 def _packed(values: np.ndarray, bits: int) -> np.ndarray:
@@ -112,26 +115,68 @@ def _packed(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 _WIDE = REGISTERS // 16
+_LOW = np.uint64(0x1111111111111111)
 
 
-def _mismatches(a: Column, b: Column) -> Column:
-    """Registers in which two sketches differ."""
-    total = F.lit(0)
-    for k in range(_WIDE):
-        x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+class _Party:
+    """Leaders of one bucket, as arrays."""
 
+    def __init__(self, rows: list[tuple]) -> None:
+        self.keys = [r[0] for r in rows]
+        self.roots, self.sketches, self.lanes = _read([r[1] for r in rows], [r[2] for r in rows])
 
-def _met_before(a: Column, b: Column, band: Column) -> Column:
-    """Whether two sketches share an earlier band: the pair is met there."""
-    out = F.lit(False)
-    for j in range(BANDS - 1):
-        half = lambda c: F.shiftrightunsigned(c[_WIDE + j // 2], 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF))  # noqa: B023, E731
-        out = out | ((band > j) & (half(a) == half(b)))
-    return out
+    def meet(self, keys: list[bytes], roots: np.ndarray, sketches: np.ndarray, lanes: np.ndarray, band: int) -> Iterator[tuple[bytes, bytes]]:
+        """Pairs in two components, near enough by sketch, that share no earlier band."""
+        for k, leader in enumerate(self.keys):
+            x = sketches ^ self.sketches[k]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            near = (np.bitwise_count(x & _LOW).sum(axis=1) <= MOST_DIFFERENT) & (roots != self.roots[k])
+            for i in np.flatnonzero(near):
+                if not (lanes[i, :band] == self.lanes[k, :band]).any():
+                    yield (keys[i], leader) if keys[i] < leader else (leader, keys[i])
+
+
+def _read(roots: list[bytes], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roots (64 bits of their MD5), registers and lanes of the bands."""
+    whole = np.frombuffer(b"".join(sketches), dtype="<u8").reshape(len(sketches), -1)
+    return np.frombuffer(b"".join(r[:8] for r in roots), dtype="<u8"), whole[:, :_WIDE], np.ascontiguousarray(whole[:, _WIDE:]).view("<u4")
+
+
+def _meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, part, member, band, tk, root, sketch) in order, leaders before members, to pairs (a, b)."""
+    at, party, leaders = None, None, []
+    for batch in rows:
+        place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        band, keys, roots, sketches = (batch.column(k).to_pylist() for k in (3, 4, 5, 6))
+        found: list[tuple[bytes, bytes]] = []
+        i = 0
+        while i < len(place):
+            j = i + 1
+            while j < len(place) and place[j] == place[i]:
+                j += 1
+            if place[i][:2] != at:
+                at, party, leaders = place[i][:2], None, []
+            if not place[i][2]:
+                leaders += zip(keys[i:j], roots[i:j], sketches[i:j], strict=True)
+            else:
+                party = party or _Party(leaders)
+                found += party.meet(keys[i:j], *_read(roots[i:j], sketches[i:j]), band[i])
+            i = j
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
+
+
+def _met(active: DataFrame, leaders: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of a leader and a member of its bucket to verify.
+
+    A large bucket's members are dealt over parts, to each of which its leaders go.
+    """
+    parts = active.groupBy("bucket").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    drawn = F.pmod(F.xxhash64("tk"), F.col("parts")).cast("int")
+    members = active.join(parts, "bucket").select("bucket", drawn.alias("part"), F.lit(True).alias("member"), "band", "tk", "root")
+    own = leaders.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.lit(0).alias("band"), F.col("leader").alias("tk"), F.col("of").alias("root"))
+    both = members.unionByName(own).join(sketches, "tk").select("bucket", "part", "member", "band", "tk", "root", "sketch")
+    return both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "member").mapInArrow(_meetings, "a binary, b binary").distinct()
 
 
 def _similarities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +222,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     spark = docs.sparkSession
     folder, rows = shared_folder(spark, "near-duplicates"), _identified(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, tk binary, rk long, buckets array<bigint>, sketch array<bigint>"), f"{folder}/signatures")
+    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, tk binary, rk long, buckets array<bigint>, sketch binary"), f"{folder}/signatures")
     texts = signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.min("rk").alias("rk"))
     buckets = signed.select("tk", F.posexplode("buckets").alias("band", "bucket"))
     h = F.xxhash64("tk")
@@ -198,10 +243,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         else:
             weighed = active.join(active.groupBy("bucket", "root").agg(F.count("*").alias("size")), ["bucket", "root"])
         ranked = weighed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.xxhash64("tk"), "tk")))
-        first = ranked.filter(F.col("rank") <= LEADERS ** min(k, 4)).select("bucket", F.col("tk").alias("leader"), F.col("root").alias("of"))
-        leaders = written(first.join(sketches.select(F.col("tk").alias("leader"), F.col("sketch").alias("own")), "leader"), f"{folder}/leaders-{k}")
-        met = active.join(sketches, "tk").join(leaders, "bucket").filter((F.col("root") != F.col("of")) & (_mismatches(F.col("sketch"), F.col("own")) <= MOST_DIFFERENT) & ~_met_before(F.col("sketch"), F.col("own"), F.col("band")))
-        pairs = met.select(F.least("tk", "leader").alias("a"), F.greatest("tk", "leader").alias("b")).distinct()
+        most = min(LEADERS ** min(k, 8), HELD)
+        leaders = written(ranked.filter(F.col("rank") <= most).select("bucket", F.col("tk").alias("leader"), F.col("root").alias("of")), f"{folder}/leaders-{k}")
+        pairs = _met(active, leaders, sketches)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         sides = pairs.join(pool.select(F.col("tk").alias("a"), F.col("text").alias("text_a")), "a").join(pool.select(F.col("tk").alias("b"), F.col("text").alias("text_b")), "b")
