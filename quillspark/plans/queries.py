@@ -503,7 +503,7 @@ def best_overlap_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Labels and contents
 
-_LABELLED = "SELECT l_orderkey AS order_id, string_agg('see 표 ' || l_linenumber::VARCHAR || '.' || (l_partkey % 7)::VARCHAR || '-' || (l_suppkey % 3)::VARCHAR || ' and Table ' || (l_linenumber % 3)::VARCHAR || '.1-2 p. ' || l_linenumber::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS text FROM lineitem GROUP BY l_orderkey"
+_LABELLED = "SELECT l_orderkey AS order_id, string_agg('see 표 ' || l_linenumber::VARCHAR || '.' || (l_partkey % 7)::VARCHAR || '-' || (l_suppkey % 3)::VARCHAR || ' and Table ' || (l_linenumber % 3)::VARCHAR || '.1-2 p. ' || l_linenumber::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey % 3) AS text FROM lineitem GROUP BY l_orderkey"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
