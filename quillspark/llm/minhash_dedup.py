@@ -196,20 +196,44 @@ def _similarities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similarity"])
 
 
-def connected(links: DataFrame, folder: str) -> DataFrame:
-    """(node, root) for the nodes of links (a, b); root: the smallest node of the component."""
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{folder}/labels-0")
-    k = 0
-    while True:
+def connected(links: DataFrame, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) for the nodes of links (a, b) and of ``known`` components; root: the smallest node.
+
+    Each round hooks every node to its smallest neighbour, follows the hooks twice, and
+    contracts the links to those between different roots, so what is joined shrinks.
+    """
+    if known is not None:
+        links = _moved(links, known)
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{folder}/links-0")
+    labels, k = None, 0
+    while k == 0 or not links.isEmpty():
         k += 1
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        step = written(step.join(jump, "root").select("node", "old", F.least("root", "far").alias("root")), f"{folder}/labels-{k}")
-        labels = step.select("node", "root")
-        if step.filter("old <> root").isEmpty():
-            return labels
+        ends = links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")))
+        hooks = ends.groupBy("node").agg(F.min("root").alias("root"))
+        for _ in range(2):
+            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            hooks = hooks.join(up, "root").select("node", F.col("far").alias("root"))
+        hooks = written(hooks, f"{folder}/hooks-{k}")
+        labels = hooks if labels is None else written(_rooted(labels, hooks), f"{folder}/labels-{k}")
+        links = written(_moved(links, hooks).filter("a <> b").distinct(), f"{folder}/links-{k}")
+    if known is None:
+        return labels
+    old = _rooted(known, labels)
+    return written(old.unionByName(labels.join(known.select("node"), "node", "left_anti")), f"{folder}/all")
+
+
+def _rooted(labels: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Labels whose roots have gone to other roots."""
+    up = hooks.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return labels.join(up, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+
+
+def _moved(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between the roots of their ends, the smaller first."""
+    first = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    second = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    moved = links.join(first, "a", "left").join(second, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    return moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -253,7 +277,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         tried = verified.select("a", "b") if tried is None else tried.unionByName(verified.select("a", "b"))
         found = verified.filter(F.col("similarity") >= similarity).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        roots = connected(links, f"{folder}/components-{k}")
+        roots = connected(found, f"{folder}/components-{k}", roots)
         left = active.drop("root").join(leaders.select("bucket", F.col("leader").alias("tk")), ["bucket", "tk"], "left_anti")
         left = left.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("bucket", "band", "tk", F.coalesce("root", "tk").alias("root"))
         mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
