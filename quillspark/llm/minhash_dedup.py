@@ -1,6 +1,7 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's weighted elements are its five-word shingles with their counts.  Every element sends
+A text's weighted elements are its five-word shingles; a weight is 1 + log2 of the count, so that
+a word repeated all over a text does not outweigh the rest of it.  Every element sends
 the arrivals of a Poisson process, whose rate is its weight, to random registers; a
 register keeps the earliest arrival's element, and an element stops as soon as its next
 arrival is later than every register's.  Two texts agree in a register with the
@@ -94,7 +95,7 @@ def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches: list[bytes] = []
         for _, _, words in column_words(batch.column(3), NOT_SPACE):
             doc, element, weight = elements(words)
-            sig = prob_minhash(doc, element, weight, words.n_docs, REGISTERS)
+            sig = prob_minhash(doc, element, 1 + np.log2(weight), words.n_docs, REGISTERS)
             rows_of = sig[:, : BANDS * ROWS].reshape(words.n_docs, BANDS, ROWS)
             band = np.zeros((words.n_docs, BANDS), dtype=np.uint64) + place
             for r in range(ROWS):
