@@ -8,14 +8,14 @@ passages of 50 words keep the same suffix inside the passage, whatever surrounds
 2. Cores that start two different suffixes (partial aggregation by core).
 3. Those suffixes meet their texts, which give each the 19 words to its left
    and right beyond the core: all that a window of 50 words around the core can touch.
-4. The suffixes are sorted by core and right context over range partitions (so a
-   passage that a third of all documents share is split over tasks) and each is compared
-   with the next, and with the smallest text fingerprint so far of its core; common words to the
-   right and to the left of the core are added, and a pair of 50 or more
-   marks a span in both texts.  The ends of every partition meet in one more small
-   comparison.  The same is done in the order of core and left context.
-5. Of a pair the larger fingerprint's span is removable, so what goes is always still
-   held by a smaller text; spans are united by text.
+4. A suffix has up to 20 windows of 50 words around its core, one for each split of the other 19
+   words before and after it.  Of the suffixes with an equal window the one with the
+   smallest (text fingerprint, place) keeps it; the window marks a span in every text and is
+   removable in all others.  The suffixes are sorted by core and right context over range
+   partitions (so a passage that a third of all documents share is split over tasks),
+   which decide the windows that lie in one partition.  Of windows that may go on in another, a row
+   each with the partition's smallest place meets those of the others; the rest of them go.
+5. What goes is always still held by a smaller text; spans are united by text.
 
 Whole copies are one text: only the copy with the smallest row fingerprint takes
 part, the others are removable whole if they have 50 words.
@@ -30,14 +30,15 @@ place stays; an empty table gives no rows; extra columns pass through ``remove``
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import NOT_SPACE, column_words, window_hashes
+from quillspark.llm._arrays import NOT_SPACE, column_words, mix, string_parts, window_hashes
 from quillspark.llm._store import shared_folder, written
 
 LENGTH, CORE = 50, 31
@@ -105,88 +106,147 @@ def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["core", "right", "left", "text_key", "at"])
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Leading words that two contexts share."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
-        return n
-    return next(i for i in range(n) if a[4 * i : 4 * i + 4] != b[4 * i : 4 * i + 4])
+#: A row is a repeated span, or (core and window are set, goes is null) the smallest place of a window that may go on in another partition.
+FOUND = "text_key long, start int, end int, goes boolean, core long, window long"
+_FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+_FOUND_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
 
 
-MATCH = "text_key long, start int, end int, goes boolean, core long, right binary, left binary, part int, side int"
-_MATCH_NAMES = [x.split()[0] for x in MATCH.split(", ")]
-_MATCH_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+def _found(n: int, **columns) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
+    """A batch of n rows; columns not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_FOUND_NAMES, _FOUND_TYPES, strict=True)], _FOUND_NAMES)
 
 
-class _Run:
-    """Suffixes in order: each meets the one before it and the smallest so far with its core.
+def _prefixes(context: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each context, fingerprints [suffix, k] of its first k words)."""
+    data, offsets = string_parts(context)
+    sizes = np.diff(offsets) // 4
+    values = np.zeros((len(sizes), REACH), dtype=np.uint64)
+    values[np.arange(REACH) < sizes[:, None]] = np.frombuffer(data.tobytes(), dtype="<u4")
+    out = np.zeros((len(sizes), REACH + 1), dtype=np.uint64)
+    for k in range(REACH):
+        out[:, k + 1] = mix(out[:, k] + (values[:, k] << np.uint64(8)) + np.uint64(k + 1))
+    return sizes, out
 
-    A suffix is (core, right, left, text_key, at).  Of a pair that shares a passage the
-    larger (text_key, at) is removable, so what goes is always still held by a smaller one.
-    """
-
-    def __init__(self) -> None:
-        self.last: tuple | None = None
-        self.least: tuple | None = None
-
-    def feed(self, x: tuple, out: list[tuple]) -> None:
-        if self.last is None or self.last[0] != x[0]:
-            self.least = x
-        else:
-            for y in {id(self.last): self.last, id(self.least): self.least}.values():
-                self._pair(x, y, out)
-            self.least = min(self.least, x, key=lambda s: s[3:])
-        self.last = x
-
-    def _pair(self, x: tuple, y: tuple, out: list[tuple]) -> None:
-        if x[3:] == y[3:]:
-            return
-        after, before = _common(x[1], y[1]), _common(x[2], y[2])
-        if before + after >= REACH:
-            for s, other in ((x, y), (y, x)):
-                out.append((s[3], s[4] - before, s[4] + CORE + after, s[3:] > other[3:], None, None, None, None, None))
-
-
-def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to matches; the partition's ends (side 0 to 3) are rows with a core."""
-    from pyspark import TaskContext
-
-    part, run, first, first_least = TaskContext.get().partitionId(), _Run(), None, None
-    for batch in rows:
-        out: list[tuple] = []
-        for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first = first or x
-            run.feed(x, out)
-            if x[0] == first[0]:
-                first_least = run.least
-        yield _matches(out)
-    if first is not None:
-        ends = (first, first_least, run.least, run.last)
-        yield _matches([(s[3], s[4], 0, False, s[0], s[1], s[2], part, side) for side, s in enumerate(ends)])
 
+class _Windows:
+    """Suffixes (core, right, left, text_key, at) and the windows of 50 words around their cores.
 
-def _matches(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(_MATCH_TYPES), _MATCH_TYPES, strict=True)], _MATCH_NAMES)
+    Window b of a suffix starts b words before its core.
+    """
 
+    def __init__(self, rows: pa.RecordBatch | pa.Table) -> None:
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
+        self.core, self.keys, self.at = (columns[k].to_numpy() for k in (0, 3, 4))
+        (self.n_right, self.right), (self.n_left, self.left) = _prefixes(columns[1]), _prefixes(columns[2])
+        self.order = np.lexsort((self.at, self.keys))
+        k, a = self.keys[self.order], self.at[self.order]
+        self.place = np.zeros(len(k), dtype=np.int64)  # equal for equal (text_key, at), in their order
+        self.place[self.order] = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (a[1:] != a[:-1])])[: len(k)])
+
+    def whole(self, b: int) -> np.ndarray:
+        """Which suffixes have window b inside their text."""
+        return (self.n_left >= b) & (self.n_right >= REACH - b)
+
+    def hashes(self, b: int) -> np.ndarray:
+        return mix(self.core.view(np.uint64) ^ mix(self.right[:, REACH - b] + mix(self.left[:, b] + np.uint64(b + 1))))
+
+    def same_right(self, b: int, i: int) -> np.ndarray:
+        """Which suffixes have suffix i's core and, in window b, its words after the core."""
+        return (self.core == self.core[i]) & (self.n_right[i] >= REACH - b) & (self.right[:, REACH - b] == self.right[i, REACH - b])
+
+    def groups(self, b: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(suffixes of ``among`` by window b, group of each, smallest suffix and number of places > 1 of each group)."""
+        rows = self.order[among[self.order]]
+        hashes = self.hashes(b)[rows]
+        by = np.lexsort((hashes, self.core[rows]))  # stable: places stay in order
+        rows, hashes = rows[by], hashes[by]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (self.core[rows[1:]] != self.core[rows[:-1]])])[: len(rows)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(rows))[: len(first)] - 1
+        return rows, np.cumsum(new) - 1, rows[first], self.place[rows[last]] > self.place[rows[first]]
+
+
+class _Spans:
+    """What the repeated windows of suffixes cover, and those that go; all of a suffix's windows hold its core."""
+
+    def __init__(self, w: _Windows) -> None:
+        self.w, n = w, len(w.at)
+        self.least, self.most = np.full((2, n), REACH + 1), np.full((2, n), -1)
+
+    def add(self, b: int, rows: np.ndarray, goes: np.ndarray) -> None:
+        for k, r in enumerate((rows, rows[goes])):
+            self.least[k, r], self.most[k, r] = np.minimum(self.least[k, r], b), np.maximum(self.most[k, r], b)
+
+    def batch(self) -> pa.RecordBatch:
+        out = []
+        same = (self.least[0] == self.least[1]) & (self.most[0] == self.most[1])
+        for k, some in enumerate(((self.most[0] >= 0) & ~same, self.most[1] >= 0)):
+            at = self.w.at[some]
+            out.append((self.w.keys[some], at - self.most[k, some], at - self.least[k, some] + LENGTH, np.full(len(at), bool(k))))
+        keys, start, end, goes = (np.concatenate(c) for c in zip(*out, strict=True))
+        return _found(len(keys), text_key=keys, start=start, end=end, goes=goes)
+
+
+def _decided(w: _Windows, ends: tuple[int, ...]) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+    """(spans, smallest places of open windows) of all suffixes of some cores.
+
+    ends: the suffixes that bound the partition on a side where their core may go on.  In the order
+    of core and right context, only windows with the same words after the core as such a
+    suffix can have suffixes beyond it: they are open.  Of an open window all but its smallest
+    place here are decided as well: they go.
+    """
+    spans, windows = _Spans(w), []
+    for b in range(REACH + 1):
+        beyond = np.zeros(len(w.at), dtype=bool)
+        for i in ends:
+            beyond |= w.same_right(b, i)
+        rows, group, least, several = w.groups(b, w.whole(b))
+        spans.add(b, rows[several[group]], (w.place[rows] > w.place[least[group]])[several[group]])
+        if (least := least[beyond[least]]).size:
+            start = w.at[least] - b
+            windows.append(_found(len(least), text_key=w.keys[least], start=start, end=start + LENGTH, core=w.core[least], window=w.hashes(b)[least].view(np.int64)))
+    return spans.batch(), windows
+
+
+def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in the order of core and right context to spans and open windows."""
+    held, first = [], True
+
+    def settle(last: bool) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        core = table.column(0).to_numpy()
+        # The first core may go on before the partition, the last one after it.
+        cuts = sorted({0, int(np.searchsorted(core, core[0], side="right")) if first else 0, int(np.searchsorted(core, core[-1])) if last else len(core), len(core)})
+        for a, z in itertools.pairwise(cuts):
+            ends = (0,) * (first and a == 0) + (z - a - 1,) * (last and z == len(core))
+            spans, windows = _decided(_Windows(table.slice(a, z - a)), ends)
+            yield spans
+            yield from windows
 
-def _ends(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions' ends in order (four rows each) to the matches between partitions."""
-    run = _Run()
     for batch in rows:
-        out: list[tuple] = []
-        for key, at, _, _, core, right, left, _, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            run.feed((core, right, left, key, at), out)
-        yield _matches(out)
-
-
-def _matched(suffixes: DataFrame, order: str, folder: str) -> DataFrame:
-    """Verified matches between neighbours in the order of core and one context."""
-    columns = ["core", order, "left" if order == "right" else "right", "text_key", "at"]
+        core = batch.column(0).to_numpy()
+        if not len(core):
+            continue
+        z = int(np.searchsorted(core, core[-1]))
+        if held and (z or core[0] != held[-1].column(0)[-1].as_py()):
+            held.append(batch.slice(0, z))
+            yield from settle(False)
+            held, first, batch = [], False, batch.slice(z)
+        held.append(batch)
+    if held:
+        yield from settle(True)
+
+
+def _matched(suffixes: DataFrame, folder: str) -> DataFrame:
+    """Spans of repeated windows: text_key, start, end, goes (a smaller place holds them)."""
+    columns = ["core", "right", "left", "text_key", "at"]
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(suffixes.repartitionByRange(n, *columns).sortWithinPartitions(*columns).select("core", "right", "left", "text_key", "at").mapInArrow(_neighbours, MATCH), f"{folder}/by-{order}")
-    # Four rows for each partition: a bound that follows the number of tasks, not the data.
-    ends = found.filter("core IS NOT NULL").repartition(1).sortWithinPartitions("part", "side").mapInArrow(_ends, MATCH)
-    return found.filter("core IS NULL").unionByName(ends).select("text_key", "start", "end", "goes")
+    found = written(suffixes.repartitionByRange(n, *columns).sortWithinPartitions(*columns).select(*columns).mapInArrow(_repeats, FOUND), f"{folder}/repeats")
+    # An open window has a row for each partition that its suffixes are in.
+    same, place = Window.partitionBy("core", "window"), F.struct("text_key", "start")
+    met = found.filter("window IS NOT NULL").withColumn("least", F.min(place).over(same)).withColumn("parts", F.count("*").over(same)).filter("parts > 1")
+    return found.filter("window IS NULL").select("text_key", "start", "end", "goes").unionByName(met.select("text_key", "start", "end", (place != F.col("least")).alias("goes")))
 
 
 SPANS = "spans array<struct<start:int,end:int>>"
@@ -224,7 +284,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = anchors.join(shared, "core").groupBy("text_key").agg(F.collect_set("at").alias("places"))
     wanted = wanted.join(texts, "text_key").select(F.col("keeper").alias("row_key"), "text_key", "places")
     suffixes = written(rows.select("row_key", "text").join(wanted, "row_key").select("text_key", "text", "places").mapInArrow(_contexts, SUFFIX), f"{folder}/suffixes")
-    found = _matched(suffixes, "right", folder).unionByName(_matched(suffixes, "left", folder))
+    found = _matched(suffixes, folder)
     span = F.struct("start", "end")
     spans = found.groupBy("text_key").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("goes"), span)).alias("removable"))
     spans = spans.select("text_key", _united("spans").alias("spans"), _united("removable").alias("removable"))

@@ -7,11 +7,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import minhash_dedup, suffix_dedup
+from quillspark.llm._arrays import NOT_SPACE, split_words, string_parts, window_hashes
 
 from conftest_docs import documents, prose
 
@@ -163,3 +165,29 @@ def test_pipeline(spark, docs, empty, tmp_path):
             assert df.agg(F.countDistinct("doc_id")).first()[0] == len(ids - {None})
         else:
             assert counts == [0] * len(counts)
+
+
+def test_one_copy_stays_beside_partial_ones(spark):
+    """Passages that reach to both sides of their core, each with other texts that hold 40 of the 52 words."""
+    passages = []
+    for seed in itertools.count():
+        passage = [f"p{seed}x{i}" for i in range(52)]
+        split = split_words(*string_parts(pa.array([" ".join(passage)])), NOT_SPACE)
+        cores, _ = window_hashes(split.hashes(), split.first, suffix_dedup.CORE)
+        # The core in the middle is so small that every text starts a suffix there.
+        if np.argmin(cores) in (10, 11) and cores.min() < np.uint64(1 << 64 - 8):
+            passages.append(passage)
+        if len(passages) == 6:
+            break
+    texts, n = [], 150
+    for k, passage in enumerate(passages):
+        for i in range(2 * n):
+            own = passage if i < n else passage[6:46]
+            # The surroundings differ from the first word on, so contexts sort in another order than texts.
+            texts.append((k, i < n, " ".join([*(f"a{k}x{i}x{j}" for j in range(25)), *own, *(f"b{k}x{i}x{j}" for j in range(25))])))
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    rows = {r.doc_id: r for r in suffix_dedup.report(df).collect()}
+    assert sorted(rows) == [i for i, (_, full, _) in enumerate(texts) if full]
+    assert all([tuple(s) for s in r.spans] == [(25, 77)] for r in rows.values())
+    gone = Counter((texts[i][0], tuple(tuple(s) for s in r.removable)) for i, r in rows.items())
+    assert gone == {(k, spans): m for k in range(6) for spans, m in (((), 1), (((25, 77),), n - 1))}
