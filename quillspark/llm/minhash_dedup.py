@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's weighted elements are its five-word shingles; a weight is 1 + log2 of the count, so that
-a word repeated all over a text does not outweigh the rest of it.  Every element sends
+A text's elements are its distinct five-word shingles, all of weight 1, so that what drops pairs is the
+similarity by which they are verified, however often a text repeats a passage.  Every element sends
 the arrivals of a Poisson process, whose rate is its weight, to random registers; a
 register keeps the earliest arrival's element, and an element stops as soon as its next
 arrival is later than every register's.  Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles.  Registers are cut into
+probability Jaccard similarity of their weighted shingles, with equal weights the Jaccard
+similarity of their shingle sets.  Registers are cut into
 bands; texts that agree in a band share a bucket.
 
 Exact copies are one text.  Inside a bucket no pairs are listed.  In
@@ -15,8 +16,8 @@ then leave the bucket; a bucket is done when all its members are in one componen
 leader and a member whose sketches (four bits of each register) estimate the similarity
 near the threshold or above are verified by the exact Jaccard similarity of their shingle
 sets; no other pair is written.  So every link between two
-texts of a bucket is found or implied by found ones: classes are the same as if all
-pairs had been compared, and nothing is capped.  Components come from label
+texts of a bucket is found or implied by found ones, but for those that the sketch misses
+(``MOST_DIFFERENT``); nothing is capped.  Components come from label
 propagation with pointer jumping on tables in the shared folder.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of one to four words is one
@@ -94,8 +95,8 @@ def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: list[np.ndarray | None] = []
         sketches: list[bytes] = []
         for _, _, words in column_words(batch.column(3), NOT_SPACE):
-            doc, element, weight = elements(words)
-            sig = prob_minhash(doc, element, 1 + np.log2(weight), words.n_docs, REGISTERS)
+            doc, element, _ = elements(words)
+            sig = prob_minhash(doc, element, np.ones(len(doc)), words.n_docs, REGISTERS)
             rows_of = sig[:, : BANDS * ROWS].reshape(words.n_docs, BANDS, ROWS)
             band = np.zeros((words.n_docs, BANDS), dtype=np.uint64) + place
             for r in range(ROWS):

@@ -90,6 +90,17 @@ def test_components(spark, tmp_path):
     assert {got[bytes([k])] for k in range(1, 41)} == {b"\x01"} and {got[x] for x in (b"x", b"y", b"z")} == {b"x"}
 
 
+def test_copies_that_repeat_a_passage(spark):
+    """Sets of shingles decide, however often one of two texts repeats a part of them."""
+    texts = []
+    for k, (n, part, times) in enumerate([(104, 34, 8), (204, 44, 16)] * 10):
+        text = [f"w{k}x{i}" for i in range(n)]
+        texts += [" ".join(text), " ".join(text + text[:part] * times)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in minhash_dedup.report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts) == [i // 2 * 2 for i in range(len(texts))]
+
+
 def brute_passages(texts: list[str]) -> dict[int, set[int]]:
     """Per document: words in 50-word windows that occur at two places of distinct texts or of one."""
     places, first, copies = defaultdict(set), {}, Counter(texts)
