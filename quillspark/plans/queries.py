@@ -574,7 +574,7 @@ def directives_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = damaged(spark, sf_dir)
-    rows = M.evaluate(d, DOC, similarity=F.lit(0.5)).withColumn("content", F.col("candidate"))
+    rows = M.evaluate(d, DOC).withColumn("content", F.col("candidate"))
     return rows.select("doc_id", F.array_join(F.transform(P.directives(P.inputs(rows)), lambda x: x["issue_type"]), ",").alias("directives"))
 
 
@@ -649,15 +649,15 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = damaged(spark, sf_dir)
-    history = loop.run(d, DOC, similarity=F.lit(0.5))
+    history = loop.run(d, DOC)
     return history.select("doc_id", "round", "total_score", "is_best", "rolled_back", "applied")
 
 
 @query()
 def repair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = damaged(spark, sf_dir)
-    before = M.evaluate(d, DOC, similarity=F.lit(0.5))
-    after = M.evaluate(d.withColumn("candidate", R.collapse_blank_lines(F.col("candidate"))), DOC, similarity=F.lit(0.5))
+    before = M.evaluate(d, DOC)
+    after = M.evaluate(d.withColumn("candidate", R.collapse_blank_lines(F.col("candidate"))), DOC)
     actions = d.select("doc_id", F.lit("collapse_blank_lines").alias("action_name"), F.lit("score_delta_non_negative").alias("verification_rule"))
     return P.outcomes(actions, before, after, DOC).select("doc_id", "action_name", "score_delta", "passed", "failure_reason")
 
