@@ -1,56 +1,60 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's elements are its distinct five-word shingles, all of weight 1, so that what drops pairs is the
-similarity by which they are verified, however often a text repeats a passage.  Every element sends
-the arrivals of a Poisson process, whose rate is its weight, to random registers; a
-register keeps the earliest arrival's element, and an element stops as soon as its next
-arrival is later than every register's.  Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles, with equal weights the Jaccard
-similarity of their shingle sets.  Registers are cut into
-bands; texts that agree in a band share a bucket.
-
-Exact copies are one text.  Inside a bucket no pairs are listed.  In
-each round some of its texts (the leaders: first the one in most company, then those of
-the smallest components) meet those members that are not yet known to be in the leader's component, and
-then leave the bucket; a bucket is done when all its members are in one component.  A
-leader and a member whose sketches (four bits of each register) estimate the similarity
-near the threshold or above are verified by the exact Jaccard similarity of their shingle
-sets; no other pair is written.  So every link between two
-texts of a bucket is found or implied by found ones, but for those that the sketch misses
-(``MOST_DIFFERENT``); nothing is capped.  Components come from label
-propagation with pointer jumping on tables in the shared folder.
+A text's elements are its distinct five-word shingles, weighted by how often they stand in it.
+Every element sends the arrivals of a Poisson process, whose rate is its weight, to random
+registers; a register keeps the earliest arrival's element, and an element stops as soon as its
+next arrival is later than every register's.  Two texts agree in a register with the probability
+Jaccard similarity of their weighted shingles.  That is the one similarity here: registers are cut
+into bands, texts that agree in a band share a bucket, and a pair of one bucket is a link if
+its exact probability Jaccard similarity is 0.8 or more.  Without repeated shingles it is the
+Jaccard similarity of the shingle sets.
+
+Exact copies are one text.  No pairs within a group are written or shuffled:
+
+1. Every bucket has a centre, its text with most company.  Each text meets the centres of its buckets.
+2. What that leaves in several components within a bucket meets in a cell for the bucket: all
+   members outside the bucket's largest component (the leaders) against all its members.
+   Large cells are dealt over blocks of leaders and parts of members.
+
+A cell first compares sketches (four bits of each register) and passes on the members
+that have a partner near the threshold or above (``MOST_DIFFERENT``).  Only these meet again with
+their texts: pairs of different components are verified and united at once, and a cell
+returns only the links that joined two components, fewer than it has members.  So every link
+between two texts of a bucket is returned or implied by returned ones, but for those that the
+sketch misses; nothing is capped.  Components come from label propagation with
+pointer jumping on tables in the shared folder.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of one to four words is one
 shingle.
 
 Defined cases: null text is empty; texts without words are equal only to
-the same text; repeated rows are copies; ties go to the smallest id; an empty table
-gives no rows; extra columns pass through ``keep_one``.
+the same text; repeated rows are copies; ties go to the smallest id; a very long text is one
+text; an empty table gives no rows; extra columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, window_hashes
+from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, string_parts, window_hashes
 from quillspark.llm._store import shared_folder, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 > 0.9996.
 BANDS, ROWS = 20, 5
 #: Registers of the sketch; the bands use the first of them.
-REGISTERS = 384
-#: Registers that may differ in a pair that is verified; at similarity 0.8 more do so with probability 0.0004.
-MOST_DIFFERENT = 98
-#: Leaders of a bucket: one in the first round, then this many to the power of the round, as far as ``HELD``.
-LEADERS, HELD = 64, 4096
-#: Members of a bucket that meet its leaders in one task; larger buckets are dealt over several.
-DEALT = 20_000
+REGISTERS = 128
+#: Registers that may differ in a pair that is verified; at similarity 0.8 more do so with probability 0.0003.
+MOST_DIFFERENT = 40
+#: Members and leaders of a cell that meet in one task, by number and by bytes of text; more are dealt over several.
+DEALT, DEALT_BYTES = 1024, 1 << 24
 
 
 def elements(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,14 +93,14 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 
 def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tk, rk, text) to (doc_id, tk, rk, buckets, sketch)."""
+    """(doc_id, tk, rk, text) to (doc_id, tk, rk, size, buckets, sketch)."""
     place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     for batch in rows:
         buckets: list[np.ndarray | None] = []
         sketches: list[bytes] = []
         for _, _, words in column_words(batch.column(3), NOT_SPACE):
-            doc, element, _ = elements(words)
-            sig = prob_minhash(doc, element, np.ones(len(doc)), words.n_docs, REGISTERS)
+            doc, element, count = elements(words)
+            sig = prob_minhash(doc, element, count, words.n_docs, REGISTERS)
             rows_of = sig[:, : BANDS * ROWS].reshape(words.n_docs, BANDS, ROWS)
             band = np.zeros((words.n_docs, BANDS), dtype=np.uint64) + place
             for r in range(ROWS):
@@ -104,7 +108,8 @@ def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets += [b if n else None for b, n in zip(band.view(np.int64), words.per_doc, strict=True)]
             whole = np.concatenate([_packed(mix(sig), 4), _packed(band, 32)], axis=1)
             sketches += [w.tobytes() for w in whole]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "tk", "rk", "buckets", "sketch"])
+        size = pc.coalesce(pc.binary_length(batch.column(3)), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], size, pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "tk", "rk", "size", "buckets", "sketch"])
 
 
 def _packed(values: np.ndarray, bits: int) -> np.ndarray:
@@ -120,82 +125,157 @@ _WIDE = REGISTERS // 16
 _LOW = np.uint64(0x1111111111111111)
 
 
-class _Party:
-    """Leaders of one bucket, as arrays."""
-
-    def __init__(self, rows: list[tuple]) -> None:
-        self.keys = [r[0] for r in rows]
-        self.roots, self.sketches, self.lanes = _read([r[1] for r in rows], [r[2] for r in rows])
-
-    def meet(self, keys: list[bytes], roots: np.ndarray, sketches: np.ndarray, lanes: np.ndarray, band: int) -> Iterator[tuple[bytes, bytes]]:
-        """Pairs in two components, near enough by sketch, that share no earlier band."""
-        for k, leader in enumerate(self.keys):
-            x = sketches ^ self.sketches[k]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            near = (np.bitwise_count(x & _LOW).sum(axis=1) <= MOST_DIFFERENT) & (roots != self.roots[k])
-            for i in np.flatnonzero(near):
-                if not (lanes[i, :band] == self.lanes[k, :band]).any():
-                    yield (keys[i], leader) if keys[i] < leader else (leader, keys[i])
-
-
-def _read(roots: list[bytes], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Roots (64 bits of their MD5), registers and lanes of the bands."""
-    whole = np.frombuffer(b"".join(sketches), dtype="<u8").reshape(len(sketches), -1)
-    return np.frombuffer(b"".join(r[:8] for r in roots), dtype="<u8"), whole[:, :_WIDE], np.ascontiguousarray(whole[:, _WIDE:]).view("<u4")
-
-
-def _meetings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, part, member, band, tk, root, sketch) in order, leaders before members, to pairs (a, b)."""
-    at, party, leaders = None, None, []
+class Weighted:
+    """Weighted shingles of some texts: sorted hashes with counts, text after text."""
+
+    def __init__(self, column: pa.Array) -> None:
+        parts = [(doc + a, element, count) for a, _, words in column_words(column, NOT_SPACE) for doc, element, count in [elements(words)]]
+        doc, self.hashes, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.first = np.searchsorted(doc, np.arange(len(column) + 1))
+        total = np.concatenate([[0], np.cumsum(self.counts)])
+        self.weight = total[self.first[1:]] - total[self.first[:-1]]
+        self.plain = self.weight == np.diff(self.first)
+
+    def similarities(self, of: Weighted, k: int, among: np.ndarray) -> np.ndarray:
+        """Probability Jaccard similarities of text k of ``of`` with these texts of this."""
+        own = slice(of.first[k], of.first[k + 1])
+        h, n = of.hashes[own], self.first[among + 1] - self.first[among]
+        if not len(h):
+            return np.zeros(len(among))
+        begin = np.cumsum(n) - n
+        flat = np.arange(n.sum()) - np.repeat(begin - self.first[among], n)
+        values = self.hashes[flat]
+        at = np.minimum(np.searchsorted(h, values), len(h) - 1)
+        both = h[at] == values
+        common = np.diff(np.concatenate([[0], np.cumsum(both)])[np.append(begin, len(flat))])
+        out = common / np.maximum(len(h) + n - common, 1)
+        for i in np.flatnonzero(~(self.plain[among] & of.plain[k]) & (common > 0)):
+            run = slice(begin[i], begin[i] + n[i])
+            out[i] = probability_jaccard(of.counts[own][at[run][both[run]]], self.counts[flat[run]][both[run]], int(of.weight[k]), int(self.weight[among[i]]))
+        return out
+
+
+def probability_jaccard(a: np.ndarray, b: np.ndarray, weight_a: int, weight_b: int) -> float:
+    """Sum over the common elements i, with weights a and b, of 1 / sum over all j of max(a_j / a_i, b_j / b_i)."""
+    order = np.argsort(b / a, kind="stable")
+    a, b = a[order].astype(np.float64), b[order].astype(np.float64)
+    # j with a ratio up to i's have the larger weight in a, the others in b.
+    upper = weight_a - a.sum() + np.cumsum(a)
+    above = weight_b - np.cumsum(b)
+    return float((1 / (upper / a + above / b)).sum())
+
+
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of ``width`` 64-bit numbers each, as rows."""
+    return np.frombuffer(string_parts(column)[0].tobytes(), dtype="<u8").reshape(len(column), width)
+
+
+#: Columns of a cell's rows; the text is there when pairs are verified.
+CELL = "cell long, block int, part int, member boolean, band int, tk binary, root binary, sketch binary"
+
+
+class _Side:
+    """Leaders, or some members, of one cell as arrays."""
+
+    def __init__(self, rows: pa.RecordBatch) -> None:
+        self.rows, self.keys = rows, rows.column(5)
+        self.roots = _numbers(rows.column(6), 2)[:, 0].copy()
+        whole = _numbers(rows.column(7), _WIDE + BANDS // 2)
+        self.registers, self.lanes = whole[:, :_WIDE], np.ascontiguousarray(whole[:, _WIDE:]).view("<u4")
+        self.hit = np.zeros(rows.num_rows, dtype=bool)
+        self.sets: Weighted | None = None
+
+    def near(self, k: int, others: _Side, band: int) -> np.ndarray:
+        """Which others are near enough to k by sketch, in another component, and share no earlier band."""
+        x = others.registers ^ self.registers[k]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        found = np.flatnonzero((np.bitwise_count(x & _LOW).sum(axis=1) <= MOST_DIFFERENT) & (others.roots != self.roots[k]))
+        return found[~(others.lanes[found, :band] == self.lanes[k, :band]).any(axis=1)] if band else found
+
+
+def _cells(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Side, pa.RecordBatch, bool]]:
+    """(leaders, some members, whether they are the cell's first) of rows in the order of cell, block, part and member."""
+    at, leaders, party = None, [], None
     for batch in rows:
-        place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-        band, keys, roots, sketches = (batch.column(k).to_pylist() for k in (3, 4, 5, 6))
-        found: list[tuple[bytes, bytes]] = []
-        i = 0
-        while i < len(place):
-            j = i + 1
-            while j < len(place) and place[j] == place[i]:
-                j += 1
-            if place[i][:2] != at:
-                at, party, leaders = place[i][:2], None, []
-            if not place[i][2]:
-                leaders += zip(keys[i:j], roots[i:j], sketches[i:j], strict=True)
-            else:
-                party = party or _Party(leaders)
-                found += party.meet(keys[i:j], *_read(roots[i:j], sketches[i:j]), band[i])
-            i = j
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
-
-
-def _met(active: DataFrame, leaders: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of a leader and a member of its bucket to verify.
-
-    A large bucket's members are dealt over parts, to each of which its leaders go.
-    """
-    parts = active.groupBy("bucket").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
-    drawn = F.pmod(F.xxhash64("tk"), F.col("parts")).cast("int")
-    members = active.join(parts, "bucket").select("bucket", drawn.alias("part"), F.lit(True).alias("member"), "band", "tk", "root")
-    own = leaders.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.lit(0).alias("band"), F.col("leader").alias("tk"), F.col("of").alias("root"))
-    both = members.unionByName(own).join(sketches, "tk").select("bucket", "part", "member", "band", "tk", "root", "sketch")
-    return both.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "member").mapInArrow(_meetings, "a binary, b binary").distinct()
-
-
-def _similarities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to (a, b, similarity): exact Jaccard of shingle sets."""
-    for batch in rows:
-        sets: list[list[np.ndarray]] = [[], []]
-        for side in (0, 1):
-            for _, _, words in column_words(batch.column(2 + side), NOT_SPACE):
-                doc, element, _ = elements(words)
-                sets[side] += np.split(element, np.searchsorted(doc, np.arange(1, words.n_docs)))
-        out = np.zeros(batch.num_rows)
-        for i, (a, b) in enumerate(zip(*sets, strict=True)):
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            out[i] = common / (len(both) - common) if len(both) else 0.0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similarity"])
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0) if batch.num_rows > 1 else np.zeros(0, dtype=bool)
+        for i, j in itertools.pairwise([*([0] if batch.num_rows else []), *(np.flatnonzero(new) + 1), batch.num_rows]):
+            place = tuple(k[i] for k in keys[:3])
+            if place != at:
+                at, leaders, party = place, [], None
+            if not keys[3][i]:
+                leaders.append(batch.slice(i, j - i))
+            elif leaders:
+                first = party is None
+                party = party or _Side(pa.Table.from_batches(leaders).combine_chunks().to_batches()[0])
+                yield party, batch.slice(i, j - i), first
+
+
+def _near_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leaders and members that have a near partner in another component."""
+    for leaders, batch, _ in _cells(rows):
+        members, band = _Side(batch), batch.column(4)[0].as_py()
+        told = leaders.hit.copy()
+        for k in range(len(leaders.roots)):
+            near = leaders.near(k, members, band)
+            members.hit[near] = True
+            leaders.hit[k] |= len(near) > 0
+        for side, hit in ((leaders, leaders.hit & ~told), (members, members.hit)):
+            if hit.any():
+                yield side.rows.filter(pa.array(hit))
+
+
+def _linking(similarity: float):  # type: ignore[no-untyped-def]
+    def links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with texts to the verified links that join two components."""
+        joined: dict[int, int] = {}  # of one cell: component to the one it is in now
+        for leaders, batch, first in _cells(rows):
+            joined = {} if first else joined
+            if first:
+                leaders.sets = Weighted(leaders.rows.column(8))
+            members, sets, band = _Side(batch), Weighted(batch.column(8)), batch.column(4)[0].as_py()
+            for i, r in enumerate(members.roots.tolist()):
+                while r in joined:
+                    r = joined[r]
+                members.roots[i] = r
+            found: list[tuple[int, int]] = []
+            for k in range(len(leaders.roots)):
+                near = leaders.near(k, members, band)
+                if not len(near):
+                    continue
+                for i in near[sets.similarities(leaders.sets, k, near) >= similarity - 1e-12]:
+                    one, other = int(members.roots[i]), int(leaders.roots[k])
+                    if one != other:
+                        joined[one] = other
+                        members.roots[members.roots == one] = other
+                        leaders.roots[leaders.roots == one] = other
+                        found.append((k, i))
+            if found:
+                ends = [leaders.keys.take(pa.array([k for k, _ in found])), members.keys.take(pa.array([int(i) for _, i in found]))]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return links
+
+
+def _met(members: DataFrame, leaders: DataFrame, texts: DataFrame, rows: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """Links (a, b) that join components of members (cell, band, tk, root, size) with leaders of the same cell."""
+    dealt = lambda name: F.ceil(F.greatest(F.count("*") / DEALT, F.sum("size") / DEALT_BYTES)).cast("int").alias(name)
+    dims = written(members.groupBy("cell").agg(dealt("parts")).join(leaders.groupBy("cell").agg(dealt("blocks")), "cell"), f"{folder}/cells")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    drawn = lambda n: F.pmod(F.xxhash64("tk"), F.col(n)).cast("int")
+    own = members.join(dims, "cell").select("cell", upto("blocks").alias("block"), drawn("parts").alias("part"), F.lit(True).alias("member"), "band", "tk", "root")
+    lead = leaders.join(dims, "cell").select("cell", drawn("blocks").alias("block"), upto("parts").alias("part"), F.lit(False).alias("member"), "band", "tk", "root")
+    place = ["cell", "block", "part"]
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(*place).sortWithinPartitions(*place, "member")
+
+    cells = own.unionByName(lead).join(texts.select("tk", "sketch"), "tk").select(*(c.split()[0] for c in CELL.split(", ")))
+    near = written(together(cells).mapInArrow(_near_rows, CELL), f"{folder}/near")
+    needed = near.select("tk").distinct().join(texts.select("tk", "rk"), "tk").select("rk")
+    pool = rows.select("rk", "tk", "text").join(needed, "rk").groupBy("tk").agg(F.first("text").alias("text"))
+    return written(together(near.join(pool, "tk").select(*near.columns, "text")).mapInArrow(_linking(similarity), "a binary, b binary"), f"{folder}/links")
 
 
 def connected(links: DataFrame, folder: str, known: DataFrame | None = None) -> DataFrame:
@@ -240,74 +320,65 @@ def _moved(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("tk"), F.xxhash64(text, F.col(id_col)).alias("rk"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), *_keys(text, id_col), text.alias("text"))
+
+
+def _keys(text, id_col: str) -> tuple:  # type: ignore[no-untyped-def,type-arg]
+    """Keys of a text and of its row."""
+    return F.unhex(F.md5(text.cast("binary"))).alias("tk"), F.xxhash64(text, F.col(id_col)).alias("rk")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per distinct text: tk (its MD5), first_id (smallest id of its rows), class_id, class_tk (the text that stands for the class), n_links (verified links)."""
+    """A row per distinct text: tk (its MD5), first_id (smallest id of its rows) with that row's key rk, class_id, class_tk (the text that stands for the class)."""
     spark = docs.sparkSession
     folder, rows = shared_folder(spark, "near-duplicates"), _identified(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, tk binary, rk long, buckets array<bigint>, sketch binary"), f"{folder}/signatures")
-    texts = signed.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.min("rk").alias("rk"))
-    buckets = signed.select("tk", F.posexplode("buckets").alias("band", "bucket"))
-    h = F.xxhash64("tk")
-    several = buckets.groupBy("bucket").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("bucket")
-    members = written(buckets.join(several, "bucket").distinct(), f"{folder}/members")
-    needed = members.select("tk").distinct().join(texts.select("tk", "rk"), "tk")
-    pool = written(rows.join(needed.select("rk"), "rk").groupBy("tk").agg(F.first("text").alias("text")), f"{folder}/texts")
-    sketches = written(signed.join(needed.select("rk"), "rk").groupBy("tk").agg(F.first("sketch").alias("sketch")), f"{folder}/sketches")
-
-    links = roots = tried = None
-    active, k = members.withColumn("root", F.col("tk")), 0
-    while True:
-        # First leaders: the text with most company over its buckets, which is the middle of a group of copies.
-        # Later ones: members of the smallest components within the bucket.
-        if k == 0:
-            company = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("tk").agg((-F.sum("n")).alias("size"))
-            weighed = active.join(company, "tk")
-        else:
-            weighed = active.join(active.groupBy("bucket", "root").agg(F.count("*").alias("size")), ["bucket", "root"])
-        ranked = weighed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.xxhash64("tk"), "tk")))
-        most = min(LEADERS ** min(k, 8), HELD)
-        leaders = written(ranked.filter(F.col("rank") <= most).select("bucket", F.col("tk").alias("leader"), F.col("root").alias("of")), f"{folder}/leaders-{k}")
-        pairs = _met(active, leaders, sketches)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        sides = pairs.join(pool.select(F.col("tk").alias("a"), F.col("text").alias("text_a")), "a").join(pool.select(F.col("tk").alias("b"), F.col("text").alias("text_b")), "b")
-        verified = written(sides.select("a", "b", "text_a", "text_b").mapInArrow(_similarities, "a binary, b binary, similarity double"), f"{folder}/verified-{k}")
-        tried = verified.select("a", "b") if tried is None else tried.unionByName(verified.select("a", "b"))
-        found = verified.filter(F.col("similarity") >= similarity).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        roots = connected(found, f"{folder}/components-{k}", roots)
-        left = active.drop("root").join(leaders.select("bucket", F.col("leader").alias("tk")), ["bucket", "tk"], "left_anti")
-        left = left.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("bucket", "band", "tk", F.coalesce("root", "tk").alias("root"))
-        mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        active = written(left.join(mixed, "bucket"), f"{folder}/active-{k}")
-        k += 1
-        if active.isEmpty():
-            break
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("tk")).agg(F.count("*").alias("n_links"))
-    named = texts.select("tk", "first_id").join(roots.withColumnRenamed("node", "tk"), "tk", "left").join(degree, "tk", "left").select("tk", "first_id", F.coalesce("root", "tk").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    signed = rows.mapInArrow(_signatures, f"doc_id {kind}, tk binary, rk long, size long, buckets array<bigint>, sketch binary")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("least")
+    texts = signed.groupBy("tk").agg(least, F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
+    texts = written(texts.select("tk", F.col("least.doc_id").alias("first_id"), F.col("least.rk").alias("rk"), "size", "buckets", "sketch"), f"{folder}/texts")
+
+    buckets = texts.select("tk", "size", F.posexplode("buckets").alias("band", "bucket"))
+    several = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{folder}/buckets")
+    members = written(buckets.join(several, "bucket"), f"{folder}/members")
+
+    company = members.groupBy("tk").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "tk").groupBy("bucket").agg(F.max(F.struct("company", "tk", "size")).alias("c"))
+    centres = written(centres.select("bucket", F.col("c.tk").alias("centre"), F.col("c.size").alias("width")), f"{folder}/centres")
+    cell = F.xxhash64("centre").alias("cell")
+    around = members.join(centres, "bucket").filter("tk <> centre").select(cell, F.lit(0).alias("band"), "tk", F.col("tk").alias("root"), "size").distinct()
+    middle = centres.select(cell, F.lit(0).alias("band"), F.col("centre").alias("tk"), F.col("centre").alias("root"), F.col("width").alias("size")).distinct()
+    roots = connected(_met(around, middle, texts, rows, similarity, f"{folder}/centred"), f"{folder}/components-1")
+
+    placed = members.join(roots.withColumnRenamed("node", "tk"), "tk", "left").select(F.col("bucket").alias("cell"), "band", "tk", F.coalesce("root", "tk").alias("root"), "size")
+    placed = written(placed, f"{folder}/placed")
+    largest = placed.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("components"))
+    largest = written(largest.filter("components > 1").select("cell", F.col("m.root").alias("largest")), f"{folder}/mixed")
+    mixed = placed.join(largest, "cell")
+    links = _met(mixed.select(*placed.columns), mixed.filter("root <> largest").select(*placed.columns), texts, rows, similarity, f"{folder}/mixed-cells")
+    roots = connected(links, f"{folder}/components-2", roots)
+
+    named = texts.select("tk", "first_id", "rk").join(roots.withColumnRenamed("node", "tk"), "tk", "left").select("tk", "first_id", "rk", F.coalesce("root", "tk").alias("root"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), "first_id", "tk")).alias("m")).select("root", F.col("m.first_id").alias("class_id"), F.col("m.tk").alias("class_tk"))
-    return named.join(heads, "root").select("tk", "first_id", "class_id", "class_tk", "n_links")
+    return named.join(heads, "root").select("tk", "first_id", "rk", "class_id", "class_tk")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per document: doc_id, class_id (the class's smallest id), kept (it stands for its class), n_links (verified links of its text)."""
+    """A row per document: doc_id, class_id (the class's smallest id), kept (it stands for its class)."""
     rows = _identified(docs, id_col, text_col).select("doc_id", "tk")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tk") == F.col("class_tk"))
-    return rows.join(classes(docs, id_col, text_col, similarity), "tk").select("doc_id", "class_id", kept.alias("kept"), F.col("n_links").cast("long").alias("n_links"))
+    return rows.join(classes(docs, id_col, text_col, similarity), "tk").select("doc_id", "class_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, the same columns: its smallest id, one row if that is repeated whole."""
     names, text = docs.columns, F.coalesce(F.col(text_col), F.lit(""))
-    found = classes(docs, id_col, text_col, similarity).filter("tk = class_tk").select("tk", "first_id")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), F.col(id_col).alias("own_id"), F.unhex(F.md5(text.cast("binary"))).alias("tk"))
-    kept = rows.join(found, "tk").filter(F.col("own_id").eqNullSafe(F.col("first_id")))
-    times = rows.groupBy("tk", "own_id").agg(F.count("*").alias("times")).filter("times > 1").select("tk", F.lit(True).alias("again"))
-    kept = kept.join(times.distinct(), "tk", "left")
+    found = classes(docs, id_col, text_col, similarity).filter("tk = class_tk").select("tk", "rk")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), *_keys(text, id_col))
+    kept = rows.join(found, ["rk", "tk"])
+    # Of rows that repeat whole one stays.
+    times = rows.groupBy("rk").agg(F.count("*").alias("times")).filter("times > 1").select("rk", F.lit(True).alias("again"))
+    kept = kept.join(times, "rk", "left")
     once = kept.filter("again IS NULL").select("r")
-    one = kept.filter("again").groupBy("tk").agg(F.first("r").alias("r")).select("r")
+    one = kept.filter("again").groupBy("rk", "tk").agg(F.first("r").alias("r")).select("r")
     return once.unionByName(one).select(*(F.col("r")[c].alias(c) for c in names))
