@@ -35,12 +35,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: The characters of ``(?U)\\s``.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(SPACES))
+
+
+def any_of(*patterns: str) -> str:
+    """One pattern for all of them."""
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def collapse(c: Column) -> Column:
@@ -103,22 +112,30 @@ def blank(c: Column) -> Column:
 # Six predicates for table rows coexist; callers keep their own.
 
 
+# ``_x`` judges a stripped line, ``x`` strips first and once.
+
+
+def _table_line(s: Column) -> Column:
+    return _markdown_row(s) | F.lower(F.left(s, F.lit(6))).startswith("<table")
+
+
+def _markdown_row(s: Column) -> Column:
+    return (s.startswith("|") | s.endswith("|")) & (count(s, "|") >= 2)
+
+
 def table_line(c: Column) -> Column:
     """Two bars or more and one at either end, or an HTML table."""
-    s = strip(c)
-    return ((count(s, "|") >= 2) & (s.startswith("|") | s.endswith("|"))) | F.lower(s).startswith("<table")
+    return let(strip(c), _table_line)
 
 
 def strict_row(c: Column) -> Column:
     """A bar at both ends."""
-    s = strip(c)
-    return s.startswith("|") & s.endswith("|")
+    return let(strip(c), lambda s: s.startswith("|") & s.endswith("|"))
 
 
 def full_row(c: Column) -> Column:
     """A bar at both ends and two at least."""
-    s = strip(c)
-    return s.startswith("|") & s.endswith("|") & (count(s, "|") >= 2)
+    return let(strip(c), lambda s: s.startswith("|") & s.endswith("|") & (count(s, "|") >= 2))
 
 
 def open_row(c: Column) -> Column:
@@ -128,8 +145,7 @@ def open_row(c: Column) -> Column:
 
 def markdown_row(c: Column) -> Column:
     """Two bars or more and one at either end; no HTML."""
-    s = strip(c)
-    return (count(s, "|") >= 2) & (s.startswith("|") | s.endswith("|"))
+    return let(strip(c), _markdown_row)
 
 
 def any_bar(c: Column) -> Column:
@@ -156,40 +172,49 @@ def separator_cells(cs: Column, empty: bool = False) -> Column:
     return F.forall(cs, lambda x: x.rlike(r"^[:-]*$" if empty else r"^[:-]+$"))
 
 
+def _kind(s: Column) -> Column:
+    return F.when(s == "", None).when(s.startswith("#"), "heading").when(s.rlike(LIST_ITEM), "list").when(_table_line(s), "table")
+
+
 def kind(c: Column) -> Column:
     """heading, list, table or null, in this precedence."""
-    s = strip(c)
-    return F.when(s == "", None).when(s.startswith("#"), "heading").when(s.rlike(LIST_ITEM), "list").when(table_line(s), "table")
+    return let(strip(c), _kind)
+
+
+def _structured_source(s: Column) -> Column:
+    return (s != "") & (s.rlike(any_of(HEADING, LIST_ITEM, SECTION, CAPTION)) | (s.endswith(":") & (F.length(s) <= 80)))
 
 
 def structured_source(c: Column) -> Column:
     """Heading, list item, section, caption, or a short line that ends with a colon."""
-    s = strip(c)
-    return (s != "") & (s.rlike(HEADING) | s.rlike(LIST_ITEM) | s.rlike(SECTION) | s.rlike(CAPTION) | (s.endswith(":") & (F.length(s) <= 80)))
+    return let(strip(c), _structured_source)
+
+
+def _structural(s: Column) -> Column:
+    return (s != "") & (s.rlike(any_of("^#", LIST_ITEM, PAREN_ITEM, SECTION, CAPTION, PAGE_MARKER, PAGE_FOOTER)) | _markdown_row(s))
 
 
 def structural(c: Column) -> Column:
     """Lines that are never part of a running paragraph."""
-    s = strip(c)
-    found = s.startswith("#") | s.rlike(LIST_ITEM) | s.rlike(PAREN_ITEM) | s.rlike(SECTION) | s.rlike(CAPTION) | s.rlike(PAGE_MARKER) | s.rlike(PAGE_FOOTER)
-    return (s != "") & (found | markdown_row(s))
+    return let(strip(c), _structural)
 
 
 def boundary(c: Column) -> Column:
     """Short plain lines, such as running headers."""
-    s = strip(c)
-    return (s != "") & ~structural(s) & (F.length(s) <= 80) & (n_fields(s) <= 8)
+    return let(strip(c), lambda s: (s != "") & (F.length(s) <= 80) & ~_structural(s) & (n_fields(s) <= 8))
 
 
 def boundary_heading(c: Column) -> Column:
-    s = strip(c)
-    return s.rlike(SECTION) | s.rlike(LIST_ITEM) | s.rlike(CAPTION)
+    return strip(c).rlike(any_of(SECTION, LIST_ITEM, CAPTION))
+
+
+def _corrupted_row(s: Column) -> Column:
+    return s.contains("|") & (s.rlike(IMAGE) | ((count(s, "|") >= 2) & ~(s.startswith("|") | s.endswith("|"))))
 
 
 def corrupted_row(c: Column) -> Column:
     """A bar beside an image, or bars inside only."""
-    s = strip(c)
-    return s.contains("|") & (s.rlike(IMAGE) | ((count(s, "|") >= 2) & ~(s.startswith("|") | s.endswith("|"))))
+    return let(strip(c), _corrupted_row)
 
 
 def key_value(c: Column) -> Column:
@@ -204,13 +229,21 @@ def numeric_row(c: Column) -> Column:
     return ~blank(c) & ((n >= 2) | ((n >= 1) & (F.size(words(c)) >= 4)))
 
 
+def joints(c: Column) -> Column:
+    """How a line may join its neighbours: what :func:`join` needs of it."""
+    return let(strip(c), lambda s: let((s != "") & ~_structural(s), lambda plain: F.struct(
+        (plain & ~s.rlike(r"[.!?:;]$")).alias("open"), plain.alias("plain"), (s.endswith("-") & ~s.rlike(PAGE_FOOTER)).alias("hyphen"),
+        (s.rlike("[가-힣]$") & ~s.rlike(KOREAN_TERMINAL) & (F.length(rstrip(c)) >= 25)).alias("korean"), s.rlike("^[가-힣]").alias("hangul"), s.rlike(r"""^[\p{Ll}\p{Nd}"'(\[]""").alias("low"))))
+
+
+def join(left: Column, right: Column) -> Column:
+    """Whether the line with joints ``right`` continues one that was wrapped after ``left``."""
+    return left["open"] & right["plain"] & (left["hyphen"] | (left["korean"] & right["hangul"]) | right["low"])
+
+
 def merges(left: Column, right: Column) -> Column:
     """Whether ``right`` continues a line that was wrapped after ``left``."""
-    a, b = rstrip(left), F.regexp_replace(right, r"(?U)^\s+", "")
-    plain = ~blank(left) & ~blank(right) & ~structural(left) & ~structural(right) & ~a.rlike(r"[.!?:;]$")
-    hyphen = a.endswith("-") & ~strip(left).rlike(PAGE_FOOTER)
-    korean = (F.length(a) >= 25) & a.rlike("[가-힣]$") & ~a.rlike(KOREAN_TERMINAL) & b.rlike("^[가-힣]")
-    return plain & (hyphen | korean | b.rlike(r"""^[\p{Ll}\p{Nd}"'(\[]"""))
+    return join(joints(left), joints(right))
 
 
 def adjacent(ls: Column, test: Callable[[Column, Column], Column]) -> Column:

@@ -110,7 +110,7 @@ def has_key_value_run(text: Column) -> Column:
 
 
 def has_wrapped_lines(text: Column) -> Column:
-    return T.adjacent(T.lines(text), T.merges)
+    return T.adjacent(F.transform(T.lines(text), T.joints), T.join)
 
 
 def has_images(text: Column) -> Column:
@@ -131,7 +131,10 @@ def first_duplicate_line(text: Column) -> Column:
 
 
 def first_wrapped_line(text: Column) -> Column:
-    return first_index(text, lambda ls, x, i: F.coalesce(T.merges(x, F.get(ls, i + 1)), F.lit(False)))
+    def first(js: Column) -> Column:
+        return F.get(F.filter(F.transform(js, lambda x, i: F.when(T.join(x, F.get(js, i + 1)), i)), lambda i: i.isNotNull()), F.lit(0))
+
+    return T.let(F.transform(T.lines(text), T.joints), first)
 
 
 def first_corrupted_row(text: Column) -> Column:

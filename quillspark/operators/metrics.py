@@ -17,30 +17,93 @@ KINDS = ("heading", "list", "table")
 
 
 def token_counts(df: DataFrame, keys: list[str], source: str, candidate: str) -> DataFrame:
-    """keys, token, n_source, n_candidate."""
-    sides = F.concat(F.transform(T.words(F.col(source)), lambda t: F.struct(t.alias("token"), F.lit(1).alias("s"), F.lit(0).alias("c"))), F.transform(T.words(F.col(candidate)), lambda t: F.struct(t.alias("token"), F.lit(0).alias("s"), F.lit(1).alias("c"))))
-    flat = df.select(*keys, F.explode(sides).alias("t"))
-    return flat.groupBy(*keys, F.col("t.token").alias("token")).agg(F.sum("t.s").alias("n_source"), F.sum("t.c").alias("n_candidate"))
+    """keys, token, n_source, n_candidate.
+
+    On rows that are dealt by the keys (:func:`dealt`) nothing is shuffled again.
+    """
+    side = lambda c, k: F.struct(F.lit(k).alias("side"), F.lower(F.col(c)).alias("text"))
+    texts = df.select(*keys, F.explode(F.array(side(source, 0), side(candidate, 1))).alias("t"))
+    flat = texts.select(*keys, F.col("t.side").alias("side"), F.explode(F.regexp_extract_all("t.text", F.lit(T.WORD), 0)).alias("token"))
+    return flat.groupBy(*keys, "token").agg(F.sum(1 - F.col("side")).alias("n_source"), F.sum("side").alias("n_candidate"))
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by their keys once: every text travels once, and aggregations and joins by the keys stay in place."""
+    return df.repartition(*keys)
 
 
 def text_coverage(df: DataFrame, keys: list[str], source: str, candidate: str) -> DataFrame:
     """Share of the source's tokens (as a multiset) found in the candidate.
 
-    Without source tokens it is 1 if the candidate is blank, else 0.
+    Without source tokens it is 1 if the candidate is blank, else 0.  Keys name one row each and are not null.
     """
-    counted = token_counts(df, keys, source, candidate).groupBy(*keys).agg(F.sum("n_source").alias("n_source"), F.sum(F.least("n_source", "n_candidate")).alias("n_common"))
-    joined = df.select(*keys, T.blank(F.col(candidate)).alias("blank")).join(counted, keys, "left")
+    df = dealt(df.select(*keys, F.col(source).alias("_source"), F.col(candidate).alias("_candidate")), keys)
+    return _coverage(df.select(*keys, T.blank(F.col("_candidate")).alias("blank")), token_counts(df, keys, "_source", "_candidate"), keys)
+
+
+def _coverage(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, blank) to keys, text_coverage and other columns of rows."""
+    sums = counts.groupBy(*keys).agg(F.sum("n_source").alias("n_source"), F.sum(F.least("n_source", "n_candidate")).alias("n_common"))
     share = F.when(F.coalesce("n_source", F.lit(0)) == 0, F.when(F.col("blank"), 1.0).otherwise(0.0)).otherwise(F.col("n_common").cast("double") / F.nullif("n_source", F.lit(0)))
-    return joined.select(*keys, share.alias("text_coverage"))
+    rest = [c for c in rows.columns if c not in (*keys, "blank")]
+    return rows.join(sums, keys, "left").select(*keys, share.alias("text_coverage"), *rest)
 
 
 def content_f1(df: DataFrame, keys: list[str], source: str, candidate: str) -> DataFrame:
-    """Multiset F1 of tokens: what similarity becomes for long texts."""
-    counted = token_counts(df, keys, source, candidate).groupBy(*keys).agg(F.sum("n_source").alias("s"), F.sum("n_candidate").alias("c"), F.sum(F.least("n_source", "n_candidate")).alias("m"))
+    """Multiset F1 of tokens: what similarity becomes for long texts.  Keys name one row each and are not null."""
+    df = dealt(df.select(*keys, F.col(source).alias("_source"), F.col(candidate).alias("_candidate")), keys)
+    counted = token_counts(df, keys, "_source", "_candidate").groupBy(*keys).agg(F.sum("n_source").alias("s"), F.sum("n_candidate").alias("c"), F.sum(F.least("n_source", "n_candidate")).alias("m"))
     both = F.coalesce("s", F.lit(0)) + F.coalesce("c", F.lit(0))
     return df.select(*keys).join(counted, keys, "left").select(*keys, F.when(both == 0, 1.0).otherwise(2.0 * F.col("m") / F.nullif(both, F.lit(0))).alias("content_f1"))
 
 
+def facts(text: Column) -> Column:
+    """What the line metrics need of a text, from one pass: its stripped lines and their kinds."""
+    return T.let(F.transform(T.lines(text), T.strip), lambda ss: F.struct(ss.alias("stripped"), F.transform(ss, T._kind).alias("kinds")))
+
+
+def _n(f: Column, kind: str) -> Column:
+    return F.size(F.filter(f["kinds"], lambda k: F.coalesce(k == kind, F.lit(False))))
+
+
+def _structure(a: Column, b: Column, source: Column, candidate: Column) -> Column:
+    """Structure retention from the facts of both texts."""
+    pairs = F.array(*(F.struct(_n(a, k).alias("e"), _n(b, k).alias("a")) for k in KINDS))
+
+    def score(present: Column) -> Column:
+        mean = F.aggregate(present, F.lit(0.0), lambda acc, p: acc + S.count_similarity(p["e"], p["a"])) / F.nullif(F.size(present), F.lit(0))
+        return F.when(F.size(present) > 0, S.clamp(mean)).otherwise(_plain(a, b, source, candidate))
+
+    empty = lambda f: ~F.exists(f["stripped"], lambda x: x != "")
+    return F.when(empty(a), F.when(empty(b), 1.0).otherwise(0.0)).otherwise(T.let(F.filter(pairs, lambda p: p["e"] > 0), score))
+
+
+def _plain(a: Column, b: Column, source: Column, candidate: Column) -> Column:
+    n = lambda f: F.size(F.filter(f["stripped"], lambda x: x != ""))
+    return (S.count_similarity(n(a), n(b)) + S.count_similarity(T.n_paragraphs(source), T.n_paragraphs(candidate))) / 2
+
+
+def _blank_share(f: Column) -> Column:
+    ss = f["stripped"]
+    extra = F.size(F.filter(ss, lambda x, i: (x == "") & (i > 0) & F.coalesce(F.get(ss, i - 1) == "", F.lit(False))))
+    return extra.cast("double") / F.greatest(F.size(ss), F.lit(1))
+
+
+def _repeated_share(f: Column) -> Column:
+    share = lambda ls: F.when(F.size(ls) == 0, 0.0).otherwise((F.size(ls) - F.size(F.array_distinct(ls))).cast("double") / F.nullif(F.size(ls), F.lit(0)))
+    return T.let(F.transform(F.filter(f["stripped"], lambda x: x != ""), T.normalize), share)
+
+
+LINE_METRICS = ["structure_retention", "table_preservation", "empty_block_penalty", "repetition_penalty"]
+
+
+def line_metrics(source: Column, candidate: Column) -> Column:
+    """All metrics that lines decide, as a struct; each text is split and stripped once."""
+    return T.let(facts(source), lambda a: T.let(facts(candidate), lambda b: F.struct(
+        _structure(a, b, source, candidate).alias("structure_retention"), S.count_similarity(_n(a, "table"), _n(b, "table")).alias("table_preservation"),
+        _blank_share(b).alias("empty_block_penalty"), _repeated_share(b).alias("repetition_penalty"))))
+
+
 def count_kind(lines: Column, kind: str) -> Column:
     return F.size(F.filter(lines, lambda x: F.coalesce(T.kind(x) == kind, F.lit(False))))
 
@@ -51,48 +114,37 @@ def full_lines(lines: Column) -> Column:
 
 def plain_structure(source: Column, candidate: Column) -> Column:
     """Mean similarity of the numbers of full lines and of paragraphs."""
-    n = lambda c: F.size(full_lines(T.lines(c)))
-    return (S.count_similarity(n(source), n(candidate)) + S.count_similarity(T.n_paragraphs(source), T.n_paragraphs(candidate))) / 2
+    return T.let(facts(source), lambda a: T.let(facts(candidate), lambda b: _plain(a, b, source, candidate)))
 
 
 def structure_retention(source: Column, candidate: Column) -> Column:
     """Mean count similarity over the kinds of marked lines in the source, else the plain structure."""
-    pairs = F.array(*(F.struct(count_kind(T.lines(source), k).alias("e"), count_kind(T.lines(candidate), k).alias("a")) for k in KINDS))
-    present = F.filter(pairs, lambda p: p["e"] > 0)
-    mean = F.aggregate(present, F.lit(0.0), lambda acc, p: acc + S.count_similarity(p["e"], p["a"])) / F.nullif(F.size(present), F.lit(0))
-    marked = F.when(F.size(present) > 0, S.clamp(mean)).otherwise(plain_structure(source, candidate))
-    return F.when(T.blank(source), F.when(T.blank(candidate), 1.0).otherwise(0.0)).otherwise(marked)
+    return T.let(facts(source), lambda a: T.let(facts(candidate), lambda b: _structure(a, b, source, candidate)))
 
 
 def table_preservation(source: Column, candidate: Column) -> Column:
     """Count similarity of table lines."""
-    return S.count_similarity(count_kind(T.lines(source), "table"), count_kind(T.lines(candidate), "table"))
+    return T.let(facts(source), lambda a: T.let(facts(candidate), lambda b: S.count_similarity(_n(a, "table"), _n(b, "table"))))
 
 
 def structured_structure(source: Column, candidate: Column) -> Column:
     """1 if the source has no marked lines: formats whose source text carries no marks."""
-    marked = F.exists(T.lines(source), lambda x: T.kind(x).isNotNull())
-    return F.when(marked, structure_retention(source, T.undecorated(candidate))).otherwise(1.0)
+    marked = lambda f: F.exists(f["kinds"], lambda k: k.isNotNull())
+    return T.let(T.undecorated(candidate), lambda plain: T.let(facts(source), lambda a: F.when(marked(a), T.let(facts(plain), lambda b: _structure(a, b, source, plain))).otherwise(1.0)))
 
 
 def structured_tables(source: Column, candidate: Column) -> Column:
-    has = F.exists(T.lines(source), lambda x: F.coalesce(T.kind(x) == "table", F.lit(False)))
-    return F.when(has, table_preservation(source, candidate)).otherwise(1.0)
+    return T.let(facts(source), lambda a: F.when(_n(a, "table") > 0, T.let(facts(candidate), lambda b: S.count_similarity(_n(a, "table"), _n(b, "table")))).otherwise(1.0))
 
 
 def blank_penalty(candidate: Column) -> Column:
     """Blank lines behind a blank line, per line."""
-    def share(blanks: Column) -> Column:
-        extra = F.size(F.filter(blanks, lambda b, i: b & F.coalesce(F.get(blanks, i - 1), F.lit(False))))
-        return extra.cast("double") / F.greatest(F.size(blanks), F.lit(1))
-
-    return T.let(F.transform(T.lines(candidate), T.blank), share)
+    return T.let(facts(candidate), _blank_share)
 
 
 def repetition_penalty(candidate: Column) -> Column:
     """Full lines that equal an earlier one, per full line."""
-    share = lambda ls: F.when(F.size(ls) == 0, 0.0).otherwise((F.size(ls) - F.size(F.array_distinct(ls))).cast("double") / F.nullif(F.size(ls), F.lit(0)))
-    return T.let(F.transform(full_lines(T.lines(candidate)), T.normalize), share)
+    return T.let(facts(candidate), _repeated_share)
 
 
 def content_stats(text: Column) -> Column:
