@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._arrays import NOT_SPACE, column_words, mix, string_parts, window_hashes
-from quillspark.llm._store import shared_folder, written
+from quillspark.llm._store import discard, shared_folder, written
 
 LENGTH, CORE = 50, 31
 STRIDE = LENGTH - CORE + 1
@@ -70,25 +70,28 @@ def minimisers(values: np.ndarray, first: np.ndarray, stride: int = STRIDE) -> n
 
 
 def _anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text key, text) to (key, at, core)."""
+    """(both halves of the text key, text) to (key, key2, at, core)."""
     for batch in rows:
-        keys = batch.column(0).to_numpy()
-        for a, _, words in column_words(batch.column(1), NOT_SPACE):
+        keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for a, _, words in column_words(batch.column(2), NOT_SPACE):
             cores, at = window_hashes(words.hashes(), words.first, CORE)
             pick = minimisers(cores, np.searchsorted(at, words.first))
             doc = np.searchsorted(words.first, at[pick], side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a + doc]), pa.array((at[pick] - words.first[doc]).astype(np.int32)), pa.array(cores[pick].view(np.int64))], ["text_key", "at", "core"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a + doc]), pa.array(more[a + doc]), pa.array((at[pick] - words.first[doc]).astype(np.int32)), pa.array(cores[pick].view(np.int64))], [*KEY, "at", "core"])
 
 
-SUFFIX = "core long, right binary, left binary, text_key long, at int"
+#: A text's fingerprint of 128 bits.
+KEY = ["text_key", "text_key2"]
+SUFFIX = "core long, right binary, left binary, text_key long, text_key2 long, at int"
 
 
 def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text key, text, positions) to suffixes with their context."""
+    """(both halves of the text key, text, positions) to suffixes with their context."""
     for batch in rows:
-        places = batch.column(2).to_pylist()
-        out: list[list] = [[] for _ in range(5)]
-        for a, b, words in column_words(batch.column(1), NOT_SPACE):
+        places = batch.column(3).to_pylist()
+        keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        out: list[list] = [[] for _ in range(6)]
+        for a, b, words in column_words(batch.column(2), NOT_SPACE):
             hashes = words.hashes()
             cores, starts = window_hashes(hashes, words.first, CORE)
             short = (hashes >> np.uint64(32)).astype("<u4")
@@ -100,16 +103,17 @@ def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[0].append(core - (1 << 64) if core >> 63 else core)
                     out[1].append(short[i + CORE : min(hi, i + CORE + REACH)].tobytes())
                     out[2].append(short[max(lo, i - REACH) : i][::-1].tobytes())
-                    out[3].append(batch.column(0)[a + d].as_py())
-                    out[4].append(p)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["core", "right", "left", "text_key", "at"])
+                    out[3].append(keys[a + d])
+                    out[4].append(more[a + d])
+                    out[5].append(p)
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["core", "right", "left", *KEY, "at"])
 
 
 #: A row is a repeated span, or (core and window are set, goes is null) the smallest place of a window that may go on in another partition.
-FOUND = "text_key long, start int, end int, goes boolean, core long, window long"
+FOUND = "text_key long, text_key2 long, start int, end int, goes boolean, core long, window long"
 _FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
-_FOUND_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+_FOUND_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
 
 
 def _found(n: int, **columns) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
@@ -130,19 +134,19 @@ def _prefixes(context: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Windows:
-    """Suffixes (core, right, left, text_key, at) and the windows of 50 words around their cores.
+    """Suffixes (core, right, left, text_key, text_key2, at) and the windows of 50 words around their cores.
 
     Window b of a suffix starts b words before its core.
     """
 
     def __init__(self, rows: pa.RecordBatch | pa.Table) -> None:
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
-        self.core, self.keys, self.at = (columns[k].to_numpy() for k in (0, 3, 4))
+        self.core, self.keys, self.more, self.at = (columns[k].to_numpy() for k in (0, 3, 4, 5))
         (self.n_right, self.right), (self.n_left, self.left) = _prefixes(columns[1]), _prefixes(columns[2])
-        self.order = np.lexsort((self.at, self.keys))
-        k, a = self.keys[self.order], self.at[self.order]
-        self.place = np.zeros(len(k), dtype=np.int64)  # equal for equal (text_key, at), in their order
-        self.place[self.order] = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (a[1:] != a[:-1])])[: len(k)])
+        self.order = np.lexsort((self.at, self.more, self.keys))
+        k, m, a = self.keys[self.order], self.more[self.order], self.at[self.order]
+        self.place = np.zeros(len(k), dtype=np.int64)  # equal for equal (text key, at), in their order
+        self.place[self.order] = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (a[1:] != a[:-1])])[: len(k)])
 
     def whole(self, b: int) -> np.ndarray:
         """Which suffixes have window b inside their text."""
@@ -183,9 +187,9 @@ class _Spans:
         same = (self.least[0] == self.least[1]) & (self.most[0] == self.most[1])
         for k, some in enumerate(((self.most[0] >= 0) & ~same, self.most[1] >= 0)):
             at = self.w.at[some]
-            out.append((self.w.keys[some], at - self.most[k, some], at - self.least[k, some] + LENGTH, np.full(len(at), bool(k))))
-        keys, start, end, goes = (np.concatenate(c) for c in zip(*out, strict=True))
-        return _found(len(keys), text_key=keys, start=start, end=end, goes=goes)
+            out.append((self.w.keys[some], self.w.more[some], at - self.most[k, some], at - self.least[k, some] + LENGTH, np.full(len(at), bool(k))))
+        keys, more, start, end, goes = (np.concatenate(c) for c in zip(*out, strict=True))
+        return _found(len(keys), text_key=keys, text_key2=more, start=start, end=end, goes=goes)
 
 
 def _decided(w: _Windows, ends: tuple[int, ...]) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
@@ -205,7 +209,7 @@ def _decided(w: _Windows, ends: tuple[int, ...]) -> tuple[pa.RecordBatch, list[p
         spans.add(b, rows[several[group]], (w.place[rows] > w.place[least[group]])[several[group]])
         if (least := least[beyond[least]]).size:
             start = w.at[least] - b
-            windows.append(_found(len(least), text_key=w.keys[least], start=start, end=start + LENGTH, core=w.core[least], window=w.hashes(b)[least].view(np.int64)))
+            windows.append(_found(len(least), text_key=w.keys[least], text_key2=w.more[least], start=start, end=start + LENGTH, core=w.core[least], window=w.hashes(b)[least].view(np.int64)))
     return spans.batch(), windows
 
 
@@ -239,14 +243,14 @@ def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matched(suffixes: DataFrame, folder: str) -> DataFrame:
-    """Spans of repeated windows: text_key, start, end, goes (a smaller place holds them)."""
-    columns = ["core", "right", "left", "text_key", "at"]
+    """Spans of repeated windows: text_key, text_key2, start, end, goes (a smaller place holds them)."""
+    columns = ["core", "right", "left", *KEY, "at"]
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(suffixes.repartitionByRange(n, *columns).sortWithinPartitions(*columns).select(*columns).mapInArrow(_repeats, FOUND), f"{folder}/repeats")
     # An open window has a row for each partition that its suffixes are in.
-    same, place = Window.partitionBy("core", "window"), F.struct("text_key", "start")
+    same, place = Window.partitionBy("core", "window"), F.struct(*KEY, "start")
     met = found.filter("window IS NOT NULL").withColumn("least", F.min(place).over(same)).withColumn("parts", F.count("*").over(same)).filter("parts > 1")
-    return found.filter("window IS NULL").select("text_key", "start", "end", "goes").unionByName(met.select("text_key", "start", "end", (place != F.col("least")).alias("goes")))
+    return found.filter("window IS NULL").select(*KEY, "start", "end", "goes").unionByName(met.select(*KEY, "start", "end", (place != F.col("least")).alias("goes")))
 
 
 SPANS = "spans array<struct<start:int,end:int>>"
@@ -266,29 +270,38 @@ def _united(spans) -> F.Column:  # type: ignore[name-defined]
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("row_key"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *_keys(text, id_col))
+
+
+def _keys(text, id_col: str) -> list:  # type: ignore[no-untyped-def,type-arg]
+    """Both halves of the text's key and the row's key."""
+    return [F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(2), text).alias("text_key2"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("row_key")]
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts with repeated passages: text_key, keeper (row key that stays), copies, spans, removable (word spans).
+    """Texts with repeated passages: text_key, text_key2, keeper (row key that stays), copies, spans, removable (word spans).
 
     A row with another row key than ``keeper`` is a whole copy.  A text without a repeated
     passage but with copies has null spans.
     """
     spark = docs.sparkSession
     folder, rows = shared_folder(spark, "suffixes"), _rows(docs, id_col, text_col)
-    anchors = written(rows.select("text_key", "text").mapInArrow(_anchors, "text_key long, at int, core long"), f"{folder}/anchors")
-    place = F.xxhash64("text_key", "at")
-    shared = anchors.groupBy("core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("core")
-    texts = rows.groupBy("text_key").agg(F.min("row_key").alias("keeper"), F.count("*").alias("copies"))
-    wanted = anchors.join(shared, "core").groupBy("text_key").agg(F.collect_set("at").alias("places"))
-    wanted = wanted.join(texts, "text_key").select(F.col("keeper").alias("row_key"), "text_key", "places")
-    suffixes = written(rows.select("row_key", "text").join(wanted, "row_key").select("text_key", "text", "places").mapInArrow(_contexts, SUFFIX), f"{folder}/suffixes")
+    anchors = written(rows.select(*KEY, "text").mapInArrow(_anchors, "text_key long, text_key2 long, at int, core long"), f"{folder}/anchors")
+    place = F.xxhash64(*KEY, "at")
+    # Written, so that the join below deals both sides anew and a core that a third of all texts hold is split over tasks.
+    shared = written(anchors.groupBy("core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("core"), f"{folder}/shared")
+    texts = rows.groupBy(*KEY).agg(F.min("row_key").alias("keeper"), F.count("*").alias("copies"))
+    wanted = anchors.join(shared, "core").groupBy(*KEY).agg(F.collect_set("at").alias("places"))
+    wanted = wanted.join(texts, KEY).select(F.col("keeper").alias("row_key"), *KEY, "places")
+    suffixes = written(rows.select("row_key", *KEY, "text").join(wanted, ["row_key", *KEY]).select(*KEY, "text", "places").mapInArrow(_contexts, SUFFIX), f"{folder}/suffixes")
+    discard(spark, f"{folder}/anchors", f"{folder}/shared")
     found = _matched(suffixes, folder)
     span = F.struct("start", "end")
-    spans = found.groupBy("text_key").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("goes"), span)).alias("removable"))
-    spans = spans.select("text_key", _united("spans").alias("spans"), _united("removable").alias("removable"))
-    return texts.join(spans, "text_key", "left").filter("copies > 1 OR spans IS NOT NULL")
+    spans = found.groupBy(*KEY).agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("goes"), span)).alias("removable"))
+    spans = spans.select(*KEY, _united("spans").alias("spans"), _united("removable").alias("removable"))
+    result = written(texts.join(spans, KEY, "left").filter("copies > 1 OR spans IS NOT NULL"), f"{folder}/found")
+    discard(spark, f"{folder}/suffixes", f"{folder}/repeats")
+    return result
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +313,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = find_passages(docs, id_col, text_col)
     rows = _rows(docs, id_col, text_col)
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    joined = rows.select("doc_id", "text_key", "row_key", n_words.alias("n_words")).join(found, "text_key").filter(f"spans IS NOT NULL OR n_words >= {LENGTH}")
+    joined = rows.select("doc_id", *KEY, "row_key", n_words.alias("n_words")).join(found, KEY).filter(f"spans IS NOT NULL OR n_words >= {LENGTH}")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     copied = (F.col("copies") > 1) & (F.col("n_words") >= LENGTH)
     gone = copied & (F.col("row_key") != F.col("keeper"))
@@ -317,15 +330,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     """
     found, names = find_passages(docs, id_col, text_col), docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("row_key"))
-    keys = found.select("text_key", "keeper", "removable", "copies")
-    joined = packed.join(keys, "text_key", "left")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), *_keys(text, id_col))
+    joined = packed.join(found.select(*KEY, "keeper", "removable", "copies"), KEY, "left")
     n_words = F.regexp_count(F.coalesce(F.col("r")[text_col], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     stays = F.col("keeper").isNull() | (F.col("row_key") == F.col("keeper")) | (n_words < LENGTH)
-    kept = joined.filter(stays).select("r", "removable", "row_key", F.coalesce("copies", F.lit(1)).alias("copies"), (n_words >= LENGTH).alias("long"))
+    kept = joined.filter(stays).select("r", "removable", "row_key", *KEY, F.coalesce("copies", F.lit(1)).alias("copies"), (n_words >= LENGTH).alias("long"))
     # Rows that repeat whole have one row key: one of them stays.
     twice = F.col("copies").__gt__(1) & F.col("long")
-    one = kept.filter(twice).groupBy("row_key").agg(F.first("r").alias("r"), F.first("removable").alias("removable")).select("r", "removable")
+    one = kept.filter(twice).groupBy("row_key", *KEY).agg(F.first("r").alias("r"), F.first("removable").alias("removable")).select("r", "removable")
     kept = kept.filter(~twice).select("r", "removable").unionByName(one)
     schema = docs.schema
 
