@@ -7,9 +7,10 @@ scanned against it in one pass without a shuffle, hits are verified word by
 word, and documents or word spans are removed.
 
 Bounds: the set is broadcast only up to ``max_chars`` of benchmark text,
-measured first.  A larger benchmark is dealt into blocks by a hash of its item
-id; each block is one bounded broadcast and one scan, and the blocks' hits
-are merged by row.
+measured first.  A larger benchmark is dealt into blocks by a hash of its items;
+each block is one bounded broadcast and one scan, whose hits are written by text before the
+driver reads the next block.  The blocks' hits are united by text before anything is decided,
+so results are the same for any number of blocks.
 
 Defined cases: a null or empty text has no words (0 hits, not contaminated);
 an item with null or wordless text has no windows; an item whose id is null
@@ -21,7 +22,7 @@ hits.  Only the named columns are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._arrays import ALNUM, Words, column_words, split_words, string_parts, window_hashes
+from quillspark.llm._store import shared_folder, written
 
 WINDOW = 13
 #: A document is contaminated if 1/20 of its words or more are hit.
@@ -36,8 +38,8 @@ SHARE = 20
 #: Characters of benchmark text that one broadcast may hold (about 16 bytes of set for each word).
 MAX_CHARS = 1 << 24
 _BITS = 20
-
-FOUND = "doc_id {id}, n_words long, hits array<int>, items array<string>"
+#: The words of :data:`ALNUM` as a pattern.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 class WindowSet:
@@ -80,45 +82,70 @@ class WindowSet:
         return {d: (np.unique(np.concatenate([np.arange(s, s + n) for s, n in starts])), ids) for d, (starts, ids) in out.items()}
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int) -> Iterator[WindowSet]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int) -> tuple[int, Iterator[WindowSet]]:
+    """(number of blocks, the blocks, each read when it is asked for)."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-chars // max_chars) or 1
-    for k in range(n):
-        rows = (items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()
-        yield WindowSet([r.i for r in rows], [r.t for r in rows])
+
+    def read() -> Iterator[WindowSet]:
+        for k in range(n):
+            rows = (items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()
+            yield WindowSet([r.i for r in rows], [r.t for r in rows])
+
+    return n, read()
 
 
-def _scan_with(sets):
-    """Function for mapInArrow on (uid, doc_id, text): rows with hits' positions and items."""
+def _scan_with(sets, all_rows: bool):
+    """Function for mapInArrow on (key, text): rows with hits' positions and items, all or those with hits."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             n = batch.num_rows
             n_words, hits, items = np.zeros(n, dtype=np.int64), [None] * n, [None] * n
-            for a, b, words in column_words(batch.column(2), ALNUM):
+            for a, b, words in column_words(batch.column(1), ALNUM):
                 n_words[a:b] = words.per_doc
                 for d, (at, ids) in sets.value.scan(words).items():
                     hits[a + d], items[a + d] = at.astype(np.int32), sorted(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["uid", "doc_id", "n_words", "hits", "items"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["key", "n_words", "hits", "items"])
+            yield out if all_rows else out.filter(out.column(2).is_valid())
 
     return run
 
 
+FOUND = "key {key}, n_words long, hits array<int>, items array<string>"
+
+
+def _text_key(text) -> F.Column:  # type: ignore[name-defined,no-untyped-def]
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _hits_by_text(docs: DataFrame, text_col: str, blocks: Iterator[WindowSet]) -> DataFrame:
+    """(key, hits, items) of the texts with hits in any block; the driver holds one block at a time."""
+    spark = docs.sparkSession
+    folder, texts, parts = shared_folder(spark, "decontamination"), docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")), []
+    for k, sets in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(sets)
+        found = texts.mapInArrow(_scan_with(shared, False), FOUND.format(key="binary"))
+        parts.append(written(found.groupBy("key").agg(F.first("hits").alias("hits"), F.first("items").alias("items")), f"{folder}/{k}"))
+        shared.destroy()
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return written(both.groupBy("key").agg(united("hits"), united("items")), f"{folder}/all")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
     """One row per document: doc_id, n_words, hits (positions of hit words, null if none), items (ids, null if none)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "uid long, " + FOUND.format(id=rows.schema["doc_id"].dataType.simpleString())
-    found = [rows.mapInArrow(_scan_with(spark.sparkContext.broadcast(s)), schema) for s in _blocks(benchmark, item_col, item_text_col, max_chars)]
-    if len(found) == 1:
-        return found[0].drop("uid")
-    both = found[0]
-    for f in found[1:]:
-        both = both.unionByName(f)
-    merged = both.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    some = F.size("hits") > 0
-    return merged.select("doc_id", "n_words", F.when(some, F.col("hits")).alias("hits"), F.when(some, F.col("items")).alias("items"))
+    n, blocks = _blocks(benchmark, item_col, item_text_col, max_chars)
+    if n == 1:
+        rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+        shared = docs.sparkSession.sparkContext.broadcast(next(blocks))
+        return rows.mapInArrow(_scan_with(shared, True), FOUND.format(key=rows.schema["key"].dataType.simpleString())).withColumnRenamed("key", "doc_id")
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_words.alias("n_words"), _text_key(F.col(text_col)).alias("key"))
+    return rows.join(_hits_by_text(docs, text_col, blocks), "key", "left").select("doc_id", "n_words", "hits", "items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
@@ -147,35 +174,50 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """The same columns without contaminated documents; from the others hit spans are cut out.
 
     ``chars_col``: a column that holds the text's code points, set anew where a
-    span went.  Clean rows pass unchanged.  Larger benchmarks go block by block.
+    span went.  Clean rows pass unchanged.  A document is judged once, by its hits in all blocks.
     """
-    for sets in _blocks(benchmark, item_col, item_text_col, max_chars):
-        docs = docs.mapInArrow(_cut_with(docs.sparkSession.sparkContext.broadcast(sets), docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None), docs.schema)
-    return docs
-
-
-def _cut_with(sets, k: int, k_chars: int | None):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            keep, changed = np.ones(batch.num_rows, dtype=bool), {}
-            for a, _, words in column_words(batch.column(k), ALNUM):
-                for d, (hits, _) in sets.value.scan(words).items():
-                    if SHARE * len(hits) >= words.per_doc[d]:
-                        keep[a + d] = False
-                    else:
-                        changed[a + d] = without_spans(words.data[words.doc_start[d] : words.doc_start[d + 1]].tobytes(), words, d, hits)
-            if changed:
-                columns = list(batch.columns)
-                for c, of in ((k, str), (k_chars, len)):
-                    if c is not None:
-                        values = columns[c].to_pylist()
-                        for i, t in changed.items():
-                            values[i] = of(t)
-                        columns[c] = pa.array(values, columns[c].type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch if keep.all() else batch.filter(pa.array(keep))
-
-    return run
+    n, blocks = _blocks(benchmark, item_col, item_text_col, max_chars)
+    names, schema = docs.columns, docs.schema
+    k, k_chars = names.index(text_col), names.index(chars_col) if chars_col else None
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(blocks))
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _cut(batch, k, k_chars, lambda words, a: ((d, at) for d, (at, _) in shared.value.scan(words).items()))
+
+        return docs.mapInArrow(scanned, schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"), _text_key(F.col(text_col)).alias("key"))
+    joined = rows.join(_hits_by_text(docs, text_col, blocks).select("key", "hits"), "key", "left").select("r", "hits")
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = batch.column(1).to_pylist()
+            own = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names)
+            yield _cut(own, k, k_chars, lambda words, a, hits=hits: ((d, np.array(hits[a + d])) for d in range(words.n_docs) if hits[a + d]))
+
+    return joined.mapInArrow(given, schema)
+
+
+def _cut(batch: pa.RecordBatch, k: int, k_chars: int | None, hits_of: Callable) -> pa.RecordBatch:  # type: ignore[type-arg]
+    """The batch without contaminated rows and hit spans; hits_of: (words of a slice, its first row) to (row, positions)."""
+    keep, changed = np.ones(batch.num_rows, dtype=bool), {}
+    for a, _, words in column_words(batch.column(k), ALNUM):
+        for d, hits in hits_of(words, a):
+            if SHARE * len(hits) >= words.per_doc[d]:
+                keep[a + d] = False
+            else:
+                changed[a + d] = without_spans(words.data[words.doc_start[d] : words.doc_start[d + 1]].tobytes(), words, d, hits)
+    if changed:
+        columns = list(batch.columns)
+        for c, of in ((k, str), (k_chars, len)):
+            if c is not None:
+                values = columns[c].to_pylist()
+                for i, t in changed.items():
+                    values[i] = of(t)
+                columns[c] = pa.array(values, columns[c].type)
+        batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    return batch if keep.all() else batch.filter(pa.array(keep))
 
 
 def sha_of_items(ids: list[str]) -> str:
