@@ -33,6 +33,18 @@ DIM, N = 1024, 3
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _PIECE = 1 << 19
+#: Counts in one dense table, and distinct n-grams of a language that a task holds before it bundles them.
+_CELLS, _GRAMS = 1 << 22, 1 << 18
+
+
+def _coded(gram: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams and each gram's place among them."""
+    if codes > 1 << 24 or len(gram) * 16 < codes:
+        return np.unique(gram, return_inverse=True)
+    used = np.flatnonzero(np.bincount(gram, minlength=1)) if len(gram) else np.zeros(0, dtype=np.int64)
+    index = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.int64)
+    index[used] = np.arange(len(used))
+    return used, index[gram] if len(gram) else gram
 
 
 def letter_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
@@ -57,8 +69,12 @@ class Profiler:
             self.folded[point] = (ord(low[0]) if c.isalpha() else 32)
         return self.folded[point]
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(counts[document, gram], grams' code points[gram, n], whether the document has a letter)."""
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], np.ndarray]:
+        """(blocks, whether each document has a letter).
+
+        A block: documents from, to, counts[document, gram], grams' code points[gram, n]; its table
+        has ``_CELLS`` numbers at most, or those of one document.
+        """
         text = data.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
         lead = (data & 0xC0) != 0x80  # bytes that begin a code point
@@ -88,16 +104,26 @@ class Profiler:
             gram = gram * a + full[k : k + m]
         inside = owner[:m] == owner[self.n - 1 :][:m] if m else np.zeros(0, dtype=bool)
         gram, owner = gram[inside], owner[:m][inside]
-        if a**self.n <= 1 << 24:
-            used = np.flatnonzero(np.bincount(gram, minlength=1)) if len(gram) else np.zeros(0, dtype=np.int64)
-            index = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.int64)
-            index[used] = np.arange(len(used))
-            column = index[gram] if len(gram) else gram
-        else:
-            used, column = np.unique(gram, return_inverse=True)
-        table2 = np.bincount(owner * max(1, len(used)) + column, minlength=n_docs * max(1, len(used))).reshape(n_docs, -1).astype(np.float32)
-        places = np.stack([letters[used // a ** (self.n - 1 - k) % a] for k in range(self.n)], axis=1) if len(used) else np.zeros((0, self.n), dtype=np.int64)
-        return table2[:, : len(used)], places, has
+        blocks, at = [], np.searchsorted(owner, np.arange(n_docs + 1))
+        for lo, hi in self._runs(gram, at, a**self.n):
+            part = slice(at[lo], at[hi])
+            used, column = _coded(gram[part], a**self.n)
+            table2 = np.bincount((owner[part] - lo) * max(1, len(used)) + column, minlength=(hi - lo) * max(1, len(used))).reshape(hi - lo, -1).astype(np.float32)
+            places = np.stack([letters[used // a ** (self.n - 1 - k) % a] for k in range(self.n)], axis=1) if len(used) else np.zeros((0, self.n), dtype=np.int64)
+            blocks.append((lo, hi, table2[:, : len(used)], places))
+        return blocks, has
+
+    def _runs(self, gram: np.ndarray, at: np.ndarray, codes: int) -> Iterator[tuple[int, int]]:
+        """Runs of documents whose number times their distinct grams is ``_CELLS`` at most."""
+        stack = [(0, len(at) - 1)] if len(at) > 1 else []
+        while stack:
+            lo, hi = stack.pop()
+            n = int(at[hi] - at[lo])
+            if hi - lo > 1 and n * (hi - lo) > _CELLS and len(_coded(gram[at[lo] : at[hi]], codes)[0]) * (hi - lo) > _CELLS:
+                middle = (lo + hi) // 2
+                stack += [(middle, hi), (lo, middle)]
+            else:
+                yield lo, hi
 
     def gram_vectors(self, places: np.ndarray) -> np.ndarray:
         """Bound vectors: the product over places of the letter's vector rotated by the place."""
@@ -114,9 +140,10 @@ class Profiler:
         out, has = np.zeros((len(column), self.dim), dtype=np.float32), np.zeros(len(column), dtype=bool)
         for a, b in slices(offsets, _PIECE):
             for part, bounds in _pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                counts, places, some = self.counts(part, bounds)
-                for g in range(0, len(places), 8192):
-                    out[a:b] += counts[:, g : g + 8192] @ self.gram_vectors(places[g : g + 8192])
+                blocks, some = self.counts(part, bounds)
+                for lo, hi, counts, places in blocks:
+                    for g in range(0, len(places), 8192):
+                        out[a + lo : a + hi] += counts[:, g : g + 8192] @ self.gram_vectors(places[g : g + 8192])
                 has[a:b] |= some
         return out, has
 
@@ -144,23 +171,29 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of n-grams by language, bound and bundled once per task."""
         profiler, grams = Profiler(dim, n), {}
+
+        def bundled(lang: str, total: dict) -> Iterator[pa.RecordBatch]:
+            bundle, keys, values = np.zeros(dim), list(total), np.array(list(total.values()), dtype=np.float64)
+            for g in range(0, len(keys), 8192):
+                bundle += values[g : g + 8192] @ profiler.gram_vectors(np.array(keys[g : g + 8192], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim, dtype=np.int32)), pa.array(bundle)], ["lang", "i", "v"])
+
         for batch in rows:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             data, offsets = string_parts(batch.column(1))
             for a, b in slices(offsets, _PIECE):
                 for part, bounds in _pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    counts, places, _ = profiler.counts(part, bounds)
-                    rows_of = [tuple(p) for p in places.tolist()]
-                    for lang in dict.fromkeys(langs[a:b]):
-                        total = grams.setdefault(lang, {})
-                        for gram, c in zip(rows_of, counts[langs[a:b] == lang].sum(0).tolist(), strict=True):
-                            if c:
-                                total[gram] = total.get(gram, 0) + c
+                    for lo, hi, counts, places in profiler.counts(part, bounds)[0]:
+                        rows_of, own = [tuple(p) for p in places.tolist()], langs[a + lo : a + hi]
+                        for lang in dict.fromkeys(own):
+                            total = grams.setdefault(lang, {})
+                            for gram, c in zip(rows_of, counts[own == lang].sum(0, dtype=np.float64).tolist(), strict=True):
+                                if c:
+                                    total[gram] = total.get(gram, 0) + c
+                            if len(total) > _GRAMS:
+                                yield from bundled(lang, grams.pop(lang))
         for lang, total in grams.items():
-            bundle, keys, values = np.zeros(dim), list(total), np.array(list(total.values()), dtype=np.float64)
-            for g in range(0, len(keys), 8192):
-                bundle += values[g : g + 8192] @ profiler.gram_vectors(np.array(keys[g : g + 8192], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim, dtype=np.int32)), pa.array(bundle)], ["lang", "i", "v"])
+            yield from bundled(lang, total)
 
     train = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sums = train.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
