@@ -12,8 +12,8 @@ some window does occur twice.
 
 Defined cases: a null text is empty: no words, ``base_failed``, not kept, and
 its cleaned text is empty; an empty table gives no rows; repeated rows are judged each;
-only the named columns are read and others pass through ``clean`` untouched, except that
-its result columns replace columns of the same name.
+other columns pass through ``clean`` untouched, whatever their names; in ``line_first`` its
+result columns stand in place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -46,8 +46,17 @@ def _line_fails(line: Column, words: Column) -> Column:
 
 def line_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, kept and cleaned_text."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept", "cleaned_text"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made or c == text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_q_text"))
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    judged = _judged(docs.select(packed, F.coalesce(F.col(text_col), F.lit("")).alias("_q_text")))
+    return judged.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in MADE), *MADE)
+
+
+#: The result columns of :func:`line_first`.
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept", "cleaned_text"]
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """(row, _q_text) to row and the result columns."""
     rows = rows.withColumn("_q_lines", F.transform(F.split("_q_text", "\n", -1), lambda s: F.struct(s.alias("line"), F.regexp_extract_all(s, F.lit(WORD), 0).alias("words"))))
     rows = rows.withColumn("_q_words", F.flatten(F.transform("_q_lines", lambda s: s["words"])))
     rows = rows.withColumn("_q_fail", F.transform("_q_lines", lambda s: (F.size(s["words"]) > 0) & _line_fails(s["line"], s["words"])))
@@ -75,13 +84,14 @@ def line_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") * 100 <= F.col("n_words") * MOST_LOST))
-    return rows.drop(*(c for c in rows.columns if c.startswith("_q_")))
+    return rows.select("row", *MADE)
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Kept documents with their cleaned text in ``text_col``; the same columns."""
-    kept = line_first(docs, text_col).filter("kept").withColumn(text_col, F.col("cleaned_text"))
-    return kept.select(*docs.columns)
+    """Kept documents with their cleaned text in ``text_col``; all other columns as they are, whatever their names."""
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = _judged(docs.select(packed, F.coalesce(F.col(text_col), F.lit("")).alias("_q_text"))).filter("kept")
+    return kept.select(*((F.col("cleaned_text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
