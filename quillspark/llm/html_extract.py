@@ -12,7 +12,8 @@ random syllables so that nothing depends on a language.
 
 Text: character references decoded, white space in a block (and line breaks) one space,
 trimmed; empty blocks dropped; article blocks joined in page order by a newline.
-Nothing is cut short.  Script, style and markup never form blocks.
+Nothing is cut short.  Scripts, styles, templates, the head and markup never form blocks;
+formulas, drawings and fallback content are text of their block.  Open elements are followed at any depth.
 
 Defined cases: a null or empty page has the empty text; a page whose blocks are
 all other has the empty text; broken markup closes with its parents; repeated rows
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,11 +39,13 @@ TRAINING_PAGES = 400
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>|</?[a-zA-Z!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "title", "head"}
+# Their content is no text of the page.
+_RAW = {"script", "style", "template", "title", "head"}
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>" if t != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I) for t in _RAW}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-# Elements that run along with the text around them.
+# Elements that run along with the text around them; formulas, drawings and fallback content are text of their block.
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE |= set("noscript object iframe canvas svg g text tspan desc math semantics annotation mrow mi mn mo mtext ms mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded menclose".split())
 _CLOSES_P = set("address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "html"}
@@ -54,10 +58,24 @@ _OTHER_FEATURES = [*(f"own:{t}" for t in _TAGS), *(f"words{k}" for k in range(7)
 FEATURES = {name: i for i, name in enumerate([*(f"in:{t}" for t in _TAGS), *(f"has:{s}" for s in _STEMS), *_OTHER_FEATURES])}
 
 
+class Element:
+    """An open element and, through its parent, all around it; their features are united once."""
+
+    __slots__ = ("tag", "parent", "depth", "found", "likeness")
+
+    def __init__(self, tag: str, own: tuple[int, ...], parent: Element | None) -> None:
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        around = parent.found if parent else frozenset()
+        self.found = around if around.issuperset(own) else around.union(own)
+        #: Equal for elements whose paths look alike.
+        self.likeness = hash((parent.likeness if parent else 0, tag, own))
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[int, ...]], ...]
+    within: Element
     linked: int
 
 
@@ -83,7 +101,8 @@ def _element(tag: str, attributes: str) -> tuple[str, tuple[int, ...]]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    root = top = Element("", (), None)
+    is_open: Counter[str] = Counter()
     text: list[str] = []
     linked = in_link = 0
 
@@ -91,10 +110,24 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         whole = " ".join(entities.unescape("".join(text)).split()) if text else ""
         if whole:
-            out.append(Block(whole, tuple(stack), linked))
+            out.append(Block(whole, top, linked))
         text.clear()
         linked = 0
 
+    def leave(tags: set[str], scope: set[str] = frozenset()) -> None:  # type: ignore[assignment]
+        """Close the innermost open element of these tags and all within it, unless one of the scope stands between."""
+        nonlocal top
+        if not any(is_open[t] for t in tags):
+            return
+        end = top
+        while end.tag not in tags:
+            if end is root or end.tag in scope:
+                return
+            end = end.parent
+        while top is not end.parent:
+            is_open[top.tag] -= 1
+            top = top.parent
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -109,9 +142,8 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if tag in _RAW and not m[1]:
-            if not m[3].rstrip().endswith("/") or tag != "svg":
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else (n if tag in ("script", "style") else at)
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else (n if tag in ("script", "style") else at)
             continue
         if tag == "a":
             in_link = 0 if m[1] else 1
@@ -122,36 +154,20 @@ def blocks(page: str) -> list[Block]:
         close()
         in_link = 0
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            leave({tag})
         elif tag not in _VOID:
             if tag in _CLOSES_P:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
+                if top.tag == "p":
+                    leave({"p"})
             elif tag in _CLOSED_BY_SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _CLOSED_BY_SAME[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _SCOPE:
-                        break
-            if len(stack) < 512:
-                stack.append(_element(tag, m[3]))
+                leave(_CLOSED_BY_SAME[tag], _SCOPE)
+            top = Element(*_element(tag, m[3]), top)
+            is_open[tag] += 1
     close()
     return out
 
 
-@lru_cache(maxsize=65536)
-def _path_features(path: tuple[tuple[str, tuple[int, ...]], ...]) -> tuple[int, ...]:
-    found = {f for _, features in path for f in features}
-    own = path[-1][0] if path else "body"
-    found.add(FEATURES.get(f"own:{own}", FEATURES["bias"]))
-    found |= {FEATURES[f"depth<{k}"] for k in (3, 5) if len(path) < k}
-    return (*found, FEATURES["bias"])
-
-
+_DIGIT = re.compile(r"\d")
 _LENGTHS = (2, 5, 10, 20, 40, 80)
 
 
@@ -160,7 +176,8 @@ def features(page: list[Block]) -> list[set[int]]:
     out, before = [], None
     for k, b in enumerate(page):
         n = b.text.count(" ") + 1
-        found = set(_path_features(b.path))
+        found = {*b.within.found, FEATURES.get(f"own:{b.within.tag or 'body'}", FEATURES["bias"]), FEATURES["bias"]}
+        found |= {FEATURES[f"depth<{d}"] for d in (3, 5) if b.within.depth < d}
         found.add(FEATURES[f"words{sum(n > x for x in _LENGTHS)}"])
         share = b.linked / len(b.text)
         found.add(FEATURES[f"links{sum(share > x for x in (0, 0.3, 0.7))}"])
@@ -172,15 +189,16 @@ def features(page: list[Block]) -> list[set[int]]:
             found.add(FEATURES["early"])
         if 4 * k >= 3 * len(page):
             found.add(FEATURES["late"])
-        if b.path[:-1] == before:
+        around = b.within.parent.likeness if b.within.parent else None
+        if around == before and k:
             found.add(FEATURES["same_parent"])
         if "|" in b.text:
             found.add(FEATURES["bar"])
         if "©" in b.text or "(c)" in b.text:
             found.add(FEATURES["copyright"])
-        if any(c.isdigit() for c in b.text[:80]):
+        if _DIGIT.search(b.text):
             found.add(FEATURES["digits"])
-        before = b.path[:-1]
+        before = around
         out.append(found)
     return out
 
@@ -356,7 +374,7 @@ class _Sample:
 
     def article(self) -> None:
         r = self.r
-        if r.random() < 0.85:
+        if r.random() < 0.7:
             h1 = lambda: self.put("h1", self.words(2, 10), 1)
             self.within("header", "", h1) if r.random() < 0.1 else h1()
         for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
@@ -367,12 +385,13 @@ class _Sample:
     def page(self) -> tuple[str, list[int]]:
         r = self.r
         self.html.append(f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>")
-        if r.random() < 0.5:
+        bare = r.random() < 0.2  # the article comes first
+        if not bare and r.random() < 0.6:
             top = lambda: self.put(r.choice(["div", "p", "h1", "h2"]), f'<a href="/">{self.words(1, 3)}</a>' if r.random() < 0.5 else self.words(1, 5), 0)
             self.within(*r.choice([("header", ""), ("div", self.named("header", "masthead", "top", "banner", "logo"))]), top, *r.choice([(), (self.links,), (lambda: self.put("p", self.prose(1, 2), 0),)]))
-        for _ in range(r.choice([0, 1, 1, 2, 3])):
+        for _ in range(0 if bare else r.choice([0, 1, 1, 2, 3])):
             self.other()
-        wrappers = [[("article", "")], [("main", "")], [("main", ""), ("article", "")], [("div", self.named("content", "main-content", "post", "entry-content", "article-body", "story"))], [("div", self.named(f"c{r.randint(1, 99)}"))], [("section", "")], [("article", ""), ("div", self.named("body", "text"))], [("table", ""), ("tr", ""), ("td", "")], []]
+        wrappers = [[("article", "")], [("main", "")], [("main", ""), ("article", "")], [("div", self.named("content", "main-content", "post", "entry-content", "article-body", "story"))], [("div", self.named(f"c{r.randint(1, 99)}"))], [("section", "")], [("article", ""), ("div", self.named("body", "text"))], [("article", ""), ("div", ""), ("div", "")], [("div", ""), ("article", ""), ("div", self.named(f"c{r.randint(1, 99)}"))], [("table", ""), ("tr", ""), ("td", "")], []]
         wrap = r.choice([*wrappers, wrappers[0], wrappers[0]])
         for tag, attributes in wrap:
             self.html.append(f"<{tag}{attributes}>")

@@ -57,6 +57,15 @@ def test_lost_words_reject(spark):
     assert quality_rules.clean(spark.createDataFrame([(3, f"{prose('j', 200)}\n{bars}")], df.schema)).first().text == prose("j", 200)
 
 
+def test_clashing_names(spark):
+    """Columns named like results or inner columns pass through ``clean`` as they are."""
+    text = prose("names", 60)
+    df = spark.createDataFrame([(1, text, "note", 9, "mine", None)], "doc_id bigint, text string, _q_note string, kept int, n_words string, row string")
+    assert tuple(quality_rules.clean(df).first()) == (1, text, "note", 9, "mine", None)
+    row = quality_rules.line_first(df).first()
+    assert (row["_q_note"], row.kept, row.n_words) == ("note", True, 60)
+
+
 def test_native_plan(docs):
     assert not re.search("Python|Pandas|Arrow|Exchange", quality_rules.report(docs.coalesce(1))._jdf.queryExecution().optimizedPlan().toString())
 
@@ -148,6 +157,51 @@ def test_pages(spark, model):
     assert html_extract.extract(df.limit(0), model).count() == 0
 
 
+def test_blocks_decide_together(spark, docs):
+    """A text whose hits lie in several blocks of the benchmark is judged once, as a whole."""
+    items = [prose(f"item{k}", 13) for k in range(6)]
+    # 78 of 1,278 words are hit, each block's share of them is under the limit.
+    text = " ".join(f"{prose(f'gap{k}', 200)} {item}" for k, item in enumerate(items))
+    df = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, prose("clean", 50), None), (3, None, None)], "doc_id bigint, text string, key bigint")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for bound in (decontaminate.MAX_CHARS, 150):
+        assert sorted(r.doc_id for r in decontaminate.remove_contamination(df, bench, max_chars=bound).collect()) == [2, 3]
+        assert Counter((r.doc_id, r.n_hit, r.contaminated) for r in decontaminate.contamination_report(df, bench, max_chars=bound).collect()) == Counter({(1, 78, True): 2, (2, 0, False): 1, (3, 0, False): 1})
+    some = spark.createDataFrame([(1, text + " " + prose("more", 400), 7)], df.schema)
+    cut = [decontaminate.remove_contamination(some, bench, max_chars=bound).first().text for bound in (decontaminate.MAX_CHARS, 150)]
+    assert cut[0] == cut[1] and not any(x[:-1] in cut[0] for x in items)
+
+
+def test_nothing_of_the_article_is_dropped(model):
+    a, b = prose("formula", 30), prose("object", 25)
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>{a} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.<p>{b} <object data=f><em>fallback words</em></object> <svg><text>label</text></svg><noscript>plain</noscript><template>no</template></article>"
+    want = ["Title of it", f"{a} x=1 holds.", f"{b} fallback words labelplain"]
+    assert html_extract.main_text([page], model) == ["\n".join(want)]
+    deep = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1>{'<div>' * 3000}<p>{a}</p>{'</div>' * 3000}<p>{b}</p></article><div class=ad>{a}</div><footer>end</footer>"
+    assert html_extract.main_text([deep], model) == [f"Title\n{a}\n{b}"]
+    assert [x.within.depth for x in html_extract.blocks(deep)] == [2, 3, 3003, 3, 2, 2]
+    unclosed = html_extract.blocks("<body>" + "</i></div></section>" * 5000 + "<li>one" * 5000)
+    assert len(unclosed) == 5000 and {x.within.depth for x in unclosed} == {2}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
+def test_supplied_pages(spark):
+    """Brute force for the supplied pages, whose articles are all marked: the article's blocks cut at tags."""
+    import html
+    import pyarrow.parquet as pq
+
+    def article(page: str) -> str:
+        inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        cut = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", re.sub(r"<!--.*?-->", "", inside))
+        texts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in cut)
+        return "\n".join(t for t in texts if t)
+
+    pages = pq.read_table(f"{SF}/pages.parquet").to_pylist()
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op5_html_extraction(spark, SF).collect()}
+    want = {p["page_id"]: article(p["html"]) for p in pages}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def brute_contamination(docs, items):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     out = []
@@ -179,6 +233,8 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination_report(empty, bench).count() == 0
     kept = {r.doc_id: r.text for r in decontaminate.remove_contamination(df, bench).filter("doc_id >= 50").collect()}
     assert 51 not in kept and 53 not in kept and 52 not in kept and 50 not in kept
+    removed = [Counter(map(tuple, decontaminate.remove_contamination(df, bench, max_chars=n).collect())) for n in (decontaminate.MAX_CHARS, 200, 60)]
+    assert removed[0] == removed[1] == removed[2]
     long = spark.createDataFrame([(1, prose("y", 900) + " START " + q1 + " END")], "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("long"))
     cut = decontaminate.remove_contamination(long, bench, chars_col="n_chars").first()
     assert q1[:-1] not in cut.text and "START" in cut.text and cut.text.endswith("END") and cut.n_chars == len(cut.text)

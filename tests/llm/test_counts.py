@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +39,69 @@ def test_words_and_hashes(a, b):
     assert len(set(h.tolist())) == len(set(want))
 
 
+def test_many_short_texts_stay_small():
+    """10,000 titles of letters that hardly repeat: tables of counts are cut by documents."""
+    r = np.random.default_rng(5)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA0, 16))) for _ in range(10_000)]
+    resource_test = f"""
+import resource, sys
+sys.path.insert(0, {str(Path(language_id.__file__).parents[2])!r})
+import numpy as np, pyarrow as pa
+from quillspark.llm import language_id
+r = np.random.default_rng(5)
+texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA0, 16))) for _ in range(10_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+language_id.Profiler().bundles(pa.array(texts))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", resource_test], capture_output=True, text=True, check=True).stdout)
+    assert grown < 500
+    some = pa.array(texts[:40])
+    whole, _ = language_id.Profiler().bundles(some)
+    alone = np.concatenate([language_id.Profiler().bundles(some.slice(k, 1))[0] for k in range(40)])
+    assert np.allclose(whole, alone)
+
+
+def brute_language(train, texts, dim=language_id.DIM, n=language_id.N):
+    """Predictions from n-gram vectors made one by one."""
+    vector = lambda p: language_id.letter_vectors(np.array([p]), dim)[0].astype(float)
+
+    def bundle(text):
+        letters = [c.lower()[0] if c.isalpha() else " " for c in text or ""]
+        framed = re.sub(" +", " ", " " + "".join(letters) + " ")
+        out = np.zeros(dim)
+        for i in range(len(framed) - n + 1):
+            gram = np.ones(dim)
+            for k in range(n):
+                gram *= np.roll(vector(ord(framed[i + k])), n - 1 - k)
+            out += gram
+        return out, any(c.isalpha() for c in text or "")
+
+    unit = lambda v: v / max(1e-12, np.linalg.norm(v))
+    langs = sorted({lang for lang, t in train if lang is not None and t is not None})
+    protos = [unit(sum(bundle(t)[0] for own, t in train if own == lang and t is not None)) for lang in langs]
+    mean = np.mean(protos, axis=0) if len(protos) > 1 else np.zeros(dim)
+    protos, out = [unit(p - mean) for p in protos], []
+    for t in texts:
+        made, has = bundle(t)
+        cosine = [float(unit(unit(made) - mean) @ p) for p in protos]
+        out.append((langs[int(np.argmax(cosine))], min(1.0, max(0.0, max(cosine)))) if has and langs else ("und", 0.0))
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    words = {"aa": "banana papaya kawa tasa mala".split(), "bb": "sterk worpl grunt blitz".split(), "cc": "ñandú über çalış Éva".split()}
+    r = np.random.default_rng(8)
+    say = lambda lang, n: " ".join(r.choice(words[lang], n))
+    train = [(lang, say(lang, 12)) for lang in words for _ in range(4)] + [(None, "ignored words"), ("aa", None)]
+    texts = [say(lang, k) for lang in words for k in (1, 3, 9)] + [None, "", "12 - !", "Ünlü 7 banana", say("bb", 40)]
+    protos = language_id.prototypes(spark.createDataFrame(train, "lang string, text string"))
+    rows = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), protos).collect()
+    got, want = {r.doc_id: (r.lang_pred, r.score) for r in rows}, brute_language(train, texts)
+    assert [got[k][0] for k in range(len(texts))] == [lang for lang, _ in want]
+    assert np.allclose([got[k][1] for k in range(len(texts))], [s for _, s in want], atol=1e-4)
+
+
 def test_token_counts(docs, empty):
     lib = Tokenizer.from_file(WORD_FILE)
     want = Counter((r[0], len((r[1] or "").encode()), len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in documents())
