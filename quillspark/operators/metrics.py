@@ -166,11 +166,7 @@ def pdf_cues(text: Column) -> Column:
 
 
 def cue_coverage(df: DataFrame, keys: list[str], source: str, candidate: str) -> DataFrame:
-    """Share of the source's cues (as a multiset) in the candidate; null without cues."""
-    sides = F.concat(F.transform(pdf_cues(F.col(source)), lambda x: F.struct(x.alias("cue"), F.lit(1).alias("s"))), F.transform(pdf_cues(F.col(candidate)), lambda x: F.struct(x.alias("cue"), F.lit(0).alias("s"))))
-    counted = df.select(*keys, F.explode(sides).alias("t")).groupBy(*keys, "t.cue").agg(F.sum("t.s").alias("s"), F.sum(1 - F.col("t.s")).alias("c"))
-    found = counted.groupBy(*keys).agg((F.sum(F.least("s", "c")).cast("double") / F.nullif(F.sum("s"), F.lit(0))).alias("cue_coverage"))
-    return df.select(*keys).join(found, keys, "left")
+    return df.select(*keys, cue_share(F.col(source), F.col(candidate)).alias("cue_coverage"))
 
 
 def exploded(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -210,11 +206,38 @@ def block_consistency(block: Column) -> Column:
     return T.let(column_counts(block), share)
 
 
+def row_blocks(ls: Column) -> Column:
+    """Runs of neighbouring table lines of an array of lines."""
+
+    def cut(hit: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(hit, i), F.lit(False))
+        starts = F.filter(F.transform(hit, lambda x, i: F.when(x & ~F.when(i > 0, at(i - 1)).otherwise(F.lit(False)), i)), lambda i: i.isNotNull())
+        ends = F.filter(F.transform(hit, lambda x, i: F.when(x & ~at(i + 1), i + 1)), lambda i: i.isNotNull())
+        return F.zip_with(starts, ends, lambda i, j: F.slice(ls, i + 1, j - i))
+
+    return T.let(F.transform(ls, T.table_line), cut)
+
+
+def consistency(text: Column) -> Column:
+    """Mean column consistency over the text's table blocks; 1 without tables.  Tables in HTML do not count."""
+    of = lambda block: F.when(~F.lower(T.strip(F.get(block, F.lit(0)))).startswith("<table"), block_consistency(block))
+    shares = F.filter(T.let(T.lines(text), lambda ls: F.transform(row_blocks(ls), of)), lambda x: x.isNotNull())
+    return T.let(shares, lambda xs: F.when(F.size(xs) == 0, 1.0).otherwise(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0))))
+
+
 def table_consistency(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Mean over table blocks; 1 without tables."""
-    blocks = table_blocks(df, keys, text).withColumn("share", F.when(~F.lower(T.strip(F.col("block")[0])).startswith("<table"), block_consistency(F.col("block"))))
-    mean = blocks.groupBy(*keys).agg((F.sum("share") / F.nullif(F.count("share"), F.lit(0))).alias("m"))
-    return df.select(*keys).join(mean, keys, "left").select(*keys, F.coalesce("m", F.lit(1.0)).alias("table_consistency"))
+    return df.select(*keys, consistency(F.col(text)).alias("table_consistency"))
+
+
+def cue_share(source: Column, candidate: Column) -> Column:
+    """Share of the source's cues (as a multiset) in the candidate; null without cues."""
+
+    def share(wanted: Column, there: Column) -> Column:
+        n = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+        hit = F.aggregate(F.array_distinct(wanted), F.lit(0), lambda acc, x: acc + F.least(n(wanted, x), n(there, x)))
+        return F.when(F.size(wanted) > 0, hit.cast("double") / F.nullif(F.size(wanted), F.lit(0)))
+
+    return T.let(pdf_cues(source), lambda wanted: T.let(pdf_cues(candidate), lambda there: share(wanted, there)))
 
 
 def notes(m: dict[str, Column]) -> Column:
@@ -229,36 +252,94 @@ def notes(m: dict[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(c, F.lit(t)) for c, t in said)), lambda x: x.isNotNull())
 
 
-# Issue type and metric, and whether the metric is a penalty.
+def more_notes(table_consistency: Column, cell_similarity: Column, image_ratio: Column, blocks_per_page: Column) -> tuple[Column, Column]:
+    """Remarks that stand before and behind those on scores."""
+    pictures = image_ratio.isNotNull() & ((image_ratio >= IMAGE_RATIO) | (F.coalesce(blocks_per_page, F.lit(0.0)) >= IMAGE_BLOCKS))
+    seen = F.concat(F.lit("Low-confidence coverage: "), F.format_number(image_ratio * 100, 0), F.lit("% of the page area is images, whose text the source text does not hold."))
+    uneven = F.concat(F.lit("Markdown table column structure inconsistent (consistency="), F.format_number(table_consistency, 2), F.lit(")."))
+    unlike = F.concat(F.lit("Cell-level table similarity is low ("), F.format_number(cell_similarity, 2), F.lit(")."))
+    keep = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return keep(F.when(pictures, seen)), keep(F.when(table_consistency < 0.9, uneven), F.when(cell_similarity < 0.7, unlike))
+
+
+#: Share of the page area, and image blocks of a page, from which a document counts as made of images.
+IMAGE_RATIO, IMAGE_BLOCKS = 0.2, 5.0
+
+# Fixed: issue type and metric, and whether the metric is a penalty.
 ISSUES = [
-    ("text_coverage_issue", "text_coverage", False),
-    ("structure_issue", "structure_retention", False),
-    ("table_issue", "table_preservation", False),
-    ("blank_line_issue", "empty_block_penalty", True),
-    ("repetition_issue", "repetition_penalty", True),
+    ("text_coverage_missing_lines", "text_coverage", False),
+    ("structure_heading_noise", "structure_retention", False),
+    ("table_layout_noise", "table_preservation", False),
+    ("blank_line_noise", "empty_block_penalty", True),
+    ("line_repetition_noise", "repetition_penalty", True),
 ]
 
 
 def metric_issues(m: dict[str, Column]) -> Column:
-    """Issues with severity and confidence for scores below 0.75 and penalties above 0."""
+    """Issues with severity, confidence and who may repair them, for scores below 0.75 and penalties above 0."""
     made = []
     for issue, metric, penalty in ISSUES:
         value = m[metric]
         made.append(F.when(value > 0 if penalty else value < 0.75, F.struct(
             F.lit(issue).alias("issue_type"), F.lit(metric).alias("metric_name"),
-            (S.penalty_severity(value) if penalty else S.severity(value)).alias("severity"), (S.clamp(value) if penalty else S.confidence(value)).alias("confidence"))))
+            (S.penalty_severity(value) if penalty else S.severity(value)).alias("severity"), (S.clamp(value) if penalty else S.confidence(value)).alias("confidence"),
+            F.lit("visual" if metric == "table_preservation" else "heuristic").alias("repairability"))))
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
-def evaluate(df: DataFrame, keys: list[str], source: str = "source", candidate: str = "candidate", similarity: Column | None = None, judge: Column | None = None) -> DataFrame:
-    """All metrics, the total, notes, issues and failed checks for each pair."""
-    from quillspark.operators.similarity import text_similarity
+def evaluate(df: DataFrame, keys: list[str], source: str = "source", candidate: str = "candidate", similarity: Column | None = None, judge: Column | None = None,
+             source_class: Column | str | None = None, toc_coverage: Column | None = None, cell_similarity: Column | None = None, image_ratio: Column | None = None, blocks_per_page: Column | None = None) -> DataFrame:
+    """All metrics, the total, notes, issues and failed checks for each pair.
+
+    source_class (:func:`quillspark.sources.filetype.source_class`) chooses structure, table score and similarity:
 
+    * ``pdf``: cues, else marked lines, at least the share of outline titles found; labelled tables, else blocks
+      of numbers, at least the cell similarity if the source has no table labels; similarity without marks.
+    * ``structured`` (office, data and web formats): lines and tables count only if the source text has marks;
+      similarity of word streams.
+    * any other: marked lines, table lines, similarity of the texts.
+
+    Uneven table columns lower the table score by up to 30 %.  Keys name one row each and are not null.
+    """
+    from quillspark.operators import similarity as X
+    from quillspark.operators import tables
+
+    number = lambda c: (c if c is not None else F.lit(None)).cast("double")
+    kind = F.lit("text" if source_class is None else source_class) if source_class is None or isinstance(source_class, str) else source_class
+    own = {"_class": kind, "_toc": number(toc_coverage), "_cells": number(cell_similarity), "_image": number(image_ratio), "_blocks": number(blocks_per_page), "_judge": number(judge)}
+    if similarity is not None:
+        own["normalized_similarity"] = similarity
+    rows = dealt(df.withColumns(own), keys)
     s, c = F.col(source), F.col(candidate)
-    rows = df.join(text_coverage(df, keys, source, candidate), keys).withColumns({
-        "normalized_similarity": similarity if similarity is not None else text_similarity(s, c), "structure_retention": structure_retention(s, c),
-        "table_preservation": table_preservation(s, c), "empty_block_penalty": blank_penalty(c), "repetition_penalty": repetition_penalty(c),
-    })
+    classed = source_class is not None and not (isinstance(source_class, str) and source_class == "text")
+    # Each step's columns are used more than once, so they are computed in a step of their own.
+    scored = rows.withColumn("_m", line_metrics(s, c)).withColumn("table_consistency", consistency(c))
+    structure, table = F.col("_m.structure_retention"), F.col("_m.table_preservation")
+    bare = c
+    if classed:
+        scored = scored.withColumn("_bare", T.undecorated(c)).withColumn("_kept", tables.pdf_table_preservation(F.when(F.col("_class") == "pdf", s), F.when(F.col("_class") == "pdf", c)))
+        bare, pdf, structured = F.col("_bare"), F.col("_class") == "pdf", F.col("_class") == "structured"
+        cued = F.greatest(F.coalesce(cue_share(s, c), structure), F.coalesce("_toc", F.lit(0.0)))
+        structure = F.when(pdf, cued).when(structured, structured_structure(s, c)).otherwise(structure)
+        table = F.when(pdf, F.col("_kept")).when(structured, structured_tables(s, c)).otherwise(table)
+    if similarity is None:
+        plain = X.text_similarity(s, bare if not classed else F.when(F.col("_class") == "pdf", bare).otherwise(c))
+        words = X.content_similarity(F.when(F.col("_class") == "structured", s), F.when(F.col("_class") == "structured", bare)) if classed else F.lit(None)
+        scored = scored.withColumn("normalized_similarity", F.when(F.col("_class") == "structured", words).otherwise(plain) if classed else plain)
+    even = F.col("table_consistency")
+    scored = scored.withColumn("structure_retention", structure).withColumn("table_preservation", table)
+    damped = F.when(even < 1, S.clamp(F.col("table_preservation") * (0.7 + 0.3 * even))).otherwise(F.col("table_preservation"))
+    if classed:
+        from quillspark.functions import labels as L
+
+        unlabelled = (F.col("_class") == "pdf") & F.col("_cells").isNotNull() & (F.size(L.table_labels(s)) == 0)
+        damped = F.when(unlabelled, F.greatest(damped, F.col("_cells"))).otherwise(damped)
+    scored = scored.withColumns({"table_preservation": damped, "empty_block_penalty": F.col("_m.empty_block_penalty"), "repetition_penalty": F.col("_m.repetition_penalty")})
+    covered = _coverage(rows.select(*keys, T.blank(c).alias("blank")), token_counts(rows, keys, source, candidate), keys)
+    rows = scored.join(covered, keys)
     m = {k: F.col(k) for k in ("text_coverage", "structure_retention", "table_preservation", "empty_block_penalty", "repetition_penalty")}
-    total = S.total_score(m["text_coverage"], F.col("normalized_similarity"), m["structure_retention"], m["table_preservation"], m["empty_block_penalty"], m["repetition_penalty"], judge)
-    return rows.withColumn("total_score", total).withColumns({"notes": notes(m), "issues": metric_issues(m), "gate_failures": S.gate_failures(F.col("total_score"), m["text_coverage"])})
+    total = S.total_score(m["text_coverage"], F.col("normalized_similarity"), m["structure_retention"], m["table_preservation"], m["empty_block_penalty"], m["repetition_penalty"], F.col("_judge") if judge is not None else None)
+    first, last = more_notes(even, F.when(F.col("_class") == "pdf", F.col("_cells")), F.col("_image"), F.col("_blocks"))
+    rows = rows.withColumn("total_score", total).withColumn("table_cell_similarity", F.col("_cells"))
+    out = rows.withColumns({"notes": F.concat(first, notes(m), last), "issues": metric_issues(m), "gate_failures": S.gate_failures(F.col("total_score"), m["text_coverage"])})
+    return out.drop("_m", "_bare", "_kept", *(k for k in own if k.startswith("_")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import labels as L
 from quillspark.functions import text as T
-from quillspark.operators.metrics import exploded
+from quillspark.operators.metrics import dealt, exploded
 
 
 def present_lines(df: DataFrame, keys: list[str], candidate: str) -> DataFrame:
@@ -25,6 +25,7 @@ def missing_lines(df: DataFrame, keys: list[str], source: str, candidate: str, w
 
     keys, line_no, line, previous_anchor, next_anchor; lines without any anchor are left out.
     """
+    df = dealt(df, keys)
     rows = exploded(df, keys, source).withColumn("norm", T.normalize(F.col("line")))
     joined = rows.join(present_lines(df, keys, candidate), [*keys, "norm"], "left")
     there = F.when((F.col("norm") != "") & F.col("first_line").isNotNull(), F.col("norm"))
@@ -37,12 +38,18 @@ def missing_lines(df: DataFrame, keys: list[str], source: str, candidate: str, w
     return lost.select(*keys, "line_no", T.strip(F.col("line")).alias("line"), "previous_anchor", "next_anchor")
 
 
+def caption(line: Column) -> Column:
+    """A table or figure caption."""
+    return T.structured_source(line) & T.strip(line).rlike(T.CAPTION)
+
+
 def missing_captions(df: DataFrame, keys: list[str], source: str, candidate: str) -> DataFrame:
-    return missing_lines(df, keys, source, candidate, lambda x: T.structured_source(x) & T.strip(x).rlike(T.CAPTION))
+    return missing_lines(df, keys, source, candidate, caption)
 
 
 def recover_lines(df: DataFrame, keys: list[str], source: str, candidate: str, wanted=T.structured_source) -> DataFrame:
     """The candidate with lost lines before their next anchor, else behind the previous one; each once."""
+    df = dealt(df, keys)
     lost = missing_lines(df, keys, source, candidate, wanted).withColumn("norm", T.normalize(F.col("line")))
     once = lost.groupBy(*keys, "norm").agg(F.min_by(F.struct("line_no", "line", "previous_anchor", "next_anchor"), "line_no").alias("m")).select(*keys, "m.*")
     places = present_lines(df, keys, candidate)
@@ -57,6 +64,7 @@ def recover_lines(df: DataFrame, keys: list[str], source: str, candidate: str, w
 
 def line_covered(df: DataFrame, keys: list[str], source: str, candidate: str, share: float = 0.7) -> DataFrame:
     """Per source line with tokens: how many, how many the candidate knows, and whether enough are."""
+    df = dealt(df, keys)
     words = F.explode(F.array_distinct(T.words(F.col(candidate)))).alias("token")
     known = df.select(*keys, words).withColumn("known", F.lit(1))
     rows = exploded(df, keys, source).select(*keys, "line_no", F.explode(T.words(F.col("line"))).alias("token"))
@@ -80,13 +88,22 @@ def page_segments(lines: DataFrame, keys: list[str]) -> DataFrame:
     return marks.withColumn("next", F.lead("line_no").over(w)).join(n, keys).select(*keys, "page", F.col("line_no").alias("start"), F.coalesce("next", "n").alias("end"))
 
 
+def title_share(titles: Column, candidate: Column) -> Column:
+    """Share of titles found in the candidate; null without titles."""
+    plain = lambda c: T.normalize(F.regexp_replace(c, r"(?m)^\s{0,3}#{1,6}\s+", ""))
+
+    def share(hay: Column) -> Column:
+        found = F.size(F.filter(F.transform(titles, plain), lambda t: (t != "") & F.contains(hay, t)))
+        return F.when(F.size(titles) > 0, found.cast("double") / F.nullif(F.size(titles), F.lit(0)))
+
+    return T.let(plain(candidate), share)
+
+
 def toc_coverage(df: DataFrame, toc: DataFrame, keys: list[str], candidate: str) -> DataFrame:
     """Share of titles (keys, title) found in the candidate; null without titles."""
     titles = toc.groupBy(*keys).agg(F.collect_list("title").alias("titles"))
-    plain = lambda c: T.normalize(F.regexp_replace(c, r"(?m)^\s{0,3}#{1,6}\s+", ""))
-    joined = df.select(*keys, plain(F.col(candidate)).alias("hay")).join(titles, keys, "left")
-    found = F.size(F.filter("titles", lambda t: (plain(t) != "") & F.contains(F.col("hay"), plain(t))))
-    return joined.select(*keys, F.when(F.size("titles") > 0, found.cast("double") / F.nullif(F.size("titles"), F.lit(0))).alias("toc_coverage"))
+    joined = df.select(*keys, F.col(candidate).alias("candidate")).join(titles, keys, "left")
+    return joined.select(*keys, title_share(F.col("titles"), F.col("candidate")).alias("toc_coverage"))
 
 
 def label_coverage(source: Column, candidate: Column) -> Column:

@@ -6,6 +6,7 @@ order-dependent (a patch moves what follows), so they run per document in Arrow
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -126,12 +127,20 @@ def _insert_like(lines: list[str], rows: list[str], above: list[str]) -> list[st
 
 
 @F.pandas_udf(StringType())
-def fused(references: pd.Series, currents: pd.Series, pools: pd.Series) -> pd.Series:
-    """references: array of grids; pools: array of other candidates' texts."""
-    one = lambda r, c, p: "\n".join(fuse([[list(map(str, row)) for row in g] for g in r], (c or "").splitlines(), [x.splitlines() for x in p]))
+def _fused(references: pd.Series, currents: pd.Series, pools: pd.Series) -> pd.Series:
+    def one(r: str | None, c: str | None, p: str | None) -> str | None:
+        lines = (c or "").splitlines()
+        new = fuse(B.grids_of(r), lines, [(x or "").splitlines() for x in json.loads(p)]) if r and p else lines
+        return c if new == lines else "\n".join(new)
+
     return pd.Series([one(*x) for x in zip(references, currents, pools, strict=True)])
 
 
+def fused(references, current, pool):  # type: ignore[no-untyped-def]
+    """references: array of grids; pool: array of other candidates' texts.  Without references or a change the text stays as it is."""
+    return _fused(B.grids_json(references), current, B.grids_json(pool))
+
+
 @F.pandas_udf(StringType())
 def replaced(texts: pd.Series, numbers: pd.Series, tables: pd.Series) -> pd.Series:
     """Texts with the table of a number replaced."""

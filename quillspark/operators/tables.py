@@ -6,6 +6,7 @@ document's pair of texts goes through one Arrow function; documents stay indepen
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -19,6 +20,7 @@ from quillspark.functions.labels import EVALUATED, GENERIC_TOKENS
 from quillspark.operators.folds import tables
 
 _WORD, _NUMBER, _LABEL = re.compile(r"\w+"), re.compile(r"\d+(?:\.\d+)?"), re.compile(EVALUATED)
+# Fixed: lines below a label, characters behind it, and row offsets that are tried.
 _REACH, _CONTEXT, _OFFSETS = 12, 240, 400
 Grid = list[list[str]]
 
@@ -149,11 +151,23 @@ def table_cell_similarity(references: list[Grid], candidate: str) -> float | Non
     return sum(max((best_offset(r, g) for g in found), default=0.0) for r in references) / len(references) if references else None
 
 
+def grids_json(references):  # type: ignore[no-untyped-def]
+    """Grids as JSON: nested arrays that are null do not pass into pandas safely."""
+    return F.to_json(F.col(references) if isinstance(references, str) else references)
+
+
+def grids_of(text: str) -> list[Grid]:
+    return [[["" if c is None else str(c) for c in row] for row in g] for g in json.loads(text)]
+
+
 @F.pandas_udf(DoubleType())
-def grids_similarity(references: pd.Series, candidates: pd.Series) -> pd.Series:
-    """references: array<array<array<string>>>; candidates: Markdown."""
-    plain = lambda g: [[str(c) for c in r] for r in g]
-    return pd.Series([None if r is None else table_cell_similarity([plain(g) for g in r], c or "") for r, c in zip(references, candidates, strict=True)], dtype="float64")
+def _grids_similarity(references: pd.Series, candidates: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else table_cell_similarity(grids_of(r), c or "") for r, c in zip(references, candidates, strict=True)], dtype="float64")
+
+
+def grids_similarity(references, candidate):  # type: ignore[no-untyped-def]
+    """references: array<array<array<string>>>; candidate: Markdown.  Null without references."""
+    return _grids_similarity(grids_json(references), candidate)
 
 
 # Tables of flattened sources
@@ -265,7 +279,8 @@ def table_match(source: str, candidate: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def pdf_table_preservation(sources: pd.Series, candidates: pd.Series) -> pd.Series:
-    return pd.Series([table_match(s or "", c or "") for s, c in zip(sources, candidates, strict=True)])
+    """Null where both are null."""
+    return pd.Series([None if s is None and c is None else table_match(s or "", c or "") for s, c in zip(sources, candidates, strict=True)], dtype="float64")
 
 
 def grounding(reference: str, markup: str) -> float | None:

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import labels as L
 from quillspark.functions import scores as S
 from quillspark.functions import text as T
-from quillspark.operators import folds
+from quillspark.operators import folds, table_patches
 from quillspark.operators import line_repair as R
+from quillspark.operators import recovery as V
 
 VISUAL, LLM, HEURISTIC = "visual_table_repair", "llm_text_repair", "heuristic"
 VISUAL_ROUTE = "recover_tables_from_pdf_image"
@@ -26,7 +28,11 @@ COST = {VISUAL: 1.0, LLM: 0.5, HEURISTIC: 0.0}
 
 @dataclass(frozen=True)
 class Directive:
-    """One rule: when it fires and what it does to the text (None: needs another input)."""
+    """One rule: when it fires and what it does to the text.
+
+    ``apply``: an expression over the text.  ``row``: one over the row, which needs the columns ``needs``
+    beside source and candidate; without them the text stays.  ``frame``: rows (keys, source, candidate) to (keys, recovered).
+    """
 
     issue_type: str
     route_name: str
@@ -34,6 +40,9 @@ class Directive:
     when: Callable[[dict[str, Column]], Column]
     apply: Callable[[Column], Column] | None = None
     in_python: bool = False
+    row: Callable[[], Column] | None = None
+    needs: tuple[str, ...] = ()
+    frame: Callable[[DataFrame, list[str]], DataFrame] | None = None
 
 
 def _low(name: str, limit: float) -> Callable[[dict[str, Column]], Column]:
@@ -47,13 +56,13 @@ def _pdf(rule: Callable[[dict[str, Column]], Column]) -> Callable[[dict[str, Col
 #: In the order in which they are applied; one per issue type.
 CATALOGUE = [
     Directive("image_link_noise", "remove_image_noise", "strip_markdown_images", lambda m: R.has_images(m["content"]), R.strip_images),
-    Directive("missing_table_caption", "recover_missing_table_captions", "recover_missing_table_caption_lines", lambda m: m["missing_captions"]),
-    Directive("text_coverage_missing_paragraphs", "fuse_missing_body_from_source", "fuse_missing_body_lines", _pdf(_low("text_coverage", 0.9))),
-    Directive("table_cross_parser_fusion", "fuse_tables_from_alternate_parser", "fuse_tables_from_alternate", _pdf(lambda m: F.coalesce(m["table_cell_similarity"] < 0.7, F.lit(False)) | (m["table_preservation"] < 0.75))),
-    Directive("text_coverage_missing_lines", "recover_missing_source_lines", "recover_missing_structured_source_lines", lambda m: (m["text_coverage"] < 0.72) & m["missing_lines"]),
+    Directive("missing_table_caption", "recover_missing_table_captions", "recover_missing_table_caption_lines", lambda m: m["missing_captions"], frame=lambda df, keys: V.recover_lines(df, keys, "source", "candidate", V.caption)),
+    Directive("text_coverage_missing_paragraphs", "fuse_missing_body_from_source", "fuse_missing_body_lines", _pdf(_low("text_coverage", 0.9)), row=lambda: folds.body_fused("source", "candidate")),
+    Directive("table_cross_parser_fusion", "fuse_tables_from_alternate_parser", "fuse_tables_from_alternate", _pdf(lambda m: F.coalesce(m["table_cell_similarity"] < 0.7, F.lit(False)) | (m["table_preservation"] < 0.75)), row=lambda: table_patches.fused("references", "candidate", "alternates"), needs=("references", "alternates")),
+    Directive("text_coverage_missing_lines", "recover_missing_source_lines", "recover_missing_structured_source_lines", lambda m: (m["text_coverage"] < 0.72) & m["missing_lines"], frame=lambda df, keys: V.recover_lines(df, keys, "source", "candidate")),
     Directive("table_layout_noise", "normalize_table_layout", "normalize_table_layout", lambda m: ~m["defer_tables"] & ((m["table_preservation"] < 0.75) | R.has_layout_noise(m["content"])), R.normalize_table_layout),
     Directive("table_text_block_recovery", "reconstruct_table_blocks", "reconstruct_table_text_blocks", lambda m: ~m["defer_tables"] & (m["table_preservation"] < 0.75) & R.has_key_value_run(m["content"]), folds.column(folds.reconstruct_tables), in_python=True),
-    Directive("structure_toc_headings", "restore_headings_from_toc", "restore_headings_from_toc", _pdf(_low("structure_retention", 0.75))),
+    Directive("structure_toc_headings", "restore_headings_from_toc", "restore_headings_from_toc", _pdf(_low("structure_retention", 0.75)), row=lambda: folds.toc_restored("candidate", "toc"), needs=("toc",)),
     Directive("structure_heading_noise", "deduplicate_headings", "remove_duplicate_headings", lambda m: (m["structure_retention"] < 0.75) | R.has_duplicate_headings(m["content"]), R.remove_duplicate_headings),
     Directive("blank_line_noise", "collapse_blank_runs", "collapse_blank_lines", lambda m: m["empty_block_penalty"] > 0, R.collapse_blank_lines),
     Directive("pdf_header_footer_noise", "deduplicate_pdf_headers", "remove_repeated_pdf_header_footer_lines", _pdf(lambda m: (m["repetition_penalty"] > 0) & m["page_edges"]), folds.column(folds.remove_page_edges), in_python=True),
@@ -65,11 +74,29 @@ CATALOGUE = [
 BY_ISSUE = {d.issue_type: d for d in CATALOGUE}
 
 
+FLAGS = ("is_pdf", "missing_captions", "missing_lines", "defer_tables", "page_edges", "boundaries_change")
+
+
 def inputs(df: DataFrame, **given: Column) -> dict[str, Column]:
     """Metric and flag columns for the rules; flags that are not given are false."""
-    flags = {k: F.lit(False) for k in ("is_pdf", "missing_captions", "missing_lines", "defer_tables", "page_edges", "boundaries_change")}
     own = {c: F.col(c) for c in df.columns}
-    return {"table_cell_similarity": F.lit(None).cast("double")} | flags | own | given
+    return {"table_cell_similarity": F.lit(None).cast("double")} | {k: F.lit(False) for k in FLAGS} | own | given
+
+
+def flagged(df: DataFrame, keys: list[str], source_class: Column | None = None, n_table_issues: Column | None = None) -> DataFrame:
+    """df (keys, source, candidate, ...) with the flags of :func:`inputs`, from its texts and its class."""
+    c = F.col("candidate")
+    pdf = (source_class if source_class is not None else F.lit("text")) == "pdf"
+    rows = df.withColumn("is_pdf", pdf)
+    lost = V.missing_lines(df, keys, "source", "candidate").groupBy(*keys).agg(F.lit(True).alias("missing_lines"), F.max(V.caption(F.col("line"))).alias("missing_captions"))
+    rows = rows.join(lost, keys, "left")
+    own = F.when(F.col("is_pdf"), c)
+    no = F.lit(False)
+    return rows.withColumns({
+        "missing_lines": F.coalesce("missing_lines", no), "missing_captions": F.coalesce("missing_captions", no),
+        "defer_tables": defer_tables(F.col("is_pdf"), n_table_issues if n_table_issues is not None else F.lit(0)),
+        "page_edges": F.coalesce(folds.column(folds.remove_page_edges)(own) != own, no), "boundaries_change": F.coalesce(folds.column(folds.restore_boundaries)(own) != own, no),
+    })
 
 
 def directives(m: dict[str, Column]) -> Column:
@@ -83,7 +110,64 @@ def defer_tables(is_pdf: Column, n_table_issues: Column) -> Column:
 
 
 def target_kind(issue_type: Column) -> Column:
-    return F.when(issue_type.startswith("table") | issue_type.isin("missing_header", "split_multipage_table", "merged_cell_loss", "numeric_token_break"), "table").when(issue_type.startswith("text"), "text").otherwise("document")
+    """What a target of this type concerns; the types that judges find in tables concern tables."""
+    found = issue_type.isin(list(L.TABLE_ISSUES))
+    return F.when(issue_type.startswith("table_") | found, "table").when(issue_type.startswith("structure_") | issue_type.startswith("wrapped_"), "text").otherwise("document")
+
+
+TARGET = "struct<target_kind:string,issue_type:string,route_name:string,source_name:string,severity:string,confidence:double,expected_gain:double,estimated_cost:double,risk_level:string,repairability:string,table_label:string,page_number:int>"
+#: Fixed: tables whose cells are as like as this need no other look at them.
+HEALTHY_CELLS, LLM_COVERAGE = 0.8, 0.72
+
+
+def _issue(issues: Column, name: Column) -> Column:
+    return F.get(F.filter(issues, lambda x: x["issue_type"] == name), F.lit(0))
+
+
+def _target(issue_type: Column, route: Column, by: str, issues: Column, m: dict[str, Column], repairability: str, label: Column | None = None, page: Column | None = None) -> Column:
+    """A target with gain, cost and risk; metrics of penalties count from 1."""
+    visual = F.lit(repairability == "visual")
+
+    def made(issue: Column) -> Column:
+        value = F.coalesce(*(F.when(issue["metric_name"] == k, 1 - m[k] if k.endswith("penalty") else m[k]) for k in ("text_coverage", "structure_retention", "table_preservation", "empty_block_penalty", "repetition_penalty")))
+        cost = S.cost_and_risk(visual, issue["confidence"])
+        return F.struct(
+            target_kind(issue_type).alias("target_kind"), issue_type.alias("issue_type"), route.alias("route_name"), F.lit(by).alias("source_name"), F.coalesce(issue["severity"], F.lit("medium")).alias("severity"),
+            F.coalesce(S.clamp(issue["confidence"]), F.lit(S.DEFAULT_CONFIDENCE)).alias("confidence"), S.expected_gain(value, issue["confidence"], visual, m["table_preservation"]).alias("expected_gain"),
+            cost["cost"].alias("estimated_cost"), cost["risk"].alias("risk_level"), F.lit(repairability).alias("repairability"), (label if label is not None else F.lit(None)).cast("string").alias("table_label"), (page if page is not None else F.lit(None)).cast("int").alias("page_number"),
+        ).cast(TARGET)
+
+    return T.let(_issue(issues, issue_type), made)
+
+
+def targets(m: dict[str, Column], issues: Column, findings: Column, regions: Column, table_issues: Column) -> Column:
+    """Array of targets: directives, table findings, else table regions, table issues left over, missing content.
+
+    findings: array of (issue_type, table_label, page_number); regions: array of (label, page_number) from the
+    parser; table_issues: array of types.  Tables are left alone where the cells are alike (``HEALTHY_CELLS``).
+    """
+    none = F.array().cast(f"array<{TARGET}>")
+    healthy = F.coalesce(m["table_cell_similarity"] >= HEALTHY_CELLS, F.lit(False))
+    found = F.when(healthy, F.slice(findings, 1, 0)).otherwise(findings)
+    route = F.lit(VISUAL_ROUTE)
+    own = F.transform(directives(m), lambda d: _target(d["issue_type"], d["route_name"], "quality_inspection", issues, m, "heuristic"))
+    judged = F.transform(found, lambda x: _target(x["issue_type"], route, "judge_table_finding", issues, m, "visual", x["table_label"], x["page_number"]))
+    places = F.array_distinct(F.filter(regions, lambda r: r["label"].isNotNull() | r["page_number"].isNotNull()))
+    first = F.get(table_issues, F.lit(0))
+    by_region = F.when(~healthy & (F.size(found) == 0) & (F.size(table_issues) > 0), F.transform(places, lambda r: _target(first, route, "parser_table_region", issues, m, "visual", r["label"], r["page_number"]))).otherwise(none)
+
+    def rest(regional: Column) -> Column:
+        covered = F.concat(F.transform(found, lambda x: x["issue_type"]), F.when(F.size(regional) > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
+        left = F.when(healthy, F.slice(table_issues, 1, 0)).otherwise(F.array_except(table_issues, covered))
+        return F.concat(regional, F.transform(left, lambda x: _target(x, route, "metrics_table_issue", issues, m, "visual")))
+
+    cov = m["text_coverage"]
+    content = F.struct(
+        F.lit("text").alias("target_kind"), F.lit("text_coverage_missing_content").alias("issue_type"), F.lit("llm_restore_missing_content").alias("route_name"), F.lit("coverage_metric").alias("source_name"),
+        F.when(cov < 0.55, "high").otherwise("medium").alias("severity"), F.bround(S.clamp(1.0 - cov), 4).alias("confidence"), F.bround(F.greatest(F.lit(0.05), 0.75 - cov), 4).alias("expected_gain"),
+        F.lit(0.5).alias("estimated_cost"), F.lit("medium").alias("risk_level"), F.lit("llm").alias("repairability"), F.lit(None).cast("string").alias("table_label"), F.lit(None).cast("int").alias("page_number"),
+    ).cast(TARGET)
+    return F.concat(own, judged, T.let(by_region, rest), F.when(cov < LLM_COVERAGE, F.array(content)).otherwise(none))
 
 
 def strategy(route: Column, repairability: Column, stalled: Column, attempted: Column, llm: bool = False) -> Column:

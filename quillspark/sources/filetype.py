@@ -49,5 +49,10 @@ def base_parser(of: Column, media: Column) -> Column:
     return F.coalesce(F.try_element_at(table, of), F.when(image, "source-text").when(text, "text-fallback").otherwise(PDF_PARSERS[0]))
 
 
+def source_class(media: Column, path: Column) -> Column:
+    """How a source is evaluated: pdf, structured (its suffix has a parser of its own) or text."""
+    return F.when(is_pdf(media, path), "pdf").when(suffix(path).isin(list(PARSERS)), "structured").otherwise("text")
+
+
 def should_run_ocr(enabled: bool, provider: Column, media: Column, path: Column, text: Column) -> Column:
     return F.lit(enabled) & provider.isNotNull() & (is_image(media, path) | (is_pdf(media, path) & (F.length(F.coalesce(F.trim(text), F.lit(""))) < MIN_OCR_CHARS)))
