@@ -192,34 +192,45 @@ def test_profile_is_the_sum_of_bound_vectors():
     assert has.tolist() == [True, False, False]
 
 
-def reference_scores(train: list[str], texts: list[str]) -> list[tuple[float, float, int]]:
+def reference_scores(train: list[str], texts: list[str], least: int) -> list[tuple[float, float, int]]:
     """The same model with dictionaries."""
     low = lambda t: [w.encode() for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).split()] + [None]
-    uni, bi = Counter(), Counter()
+    uni, tri, context = Counter(), Counter(), Counter()
     for t in train:
         tokens = low(t)
         uni.update(tokens)
-        bi.update(zip(["<s>", *tokens], tokens, strict=False))
-    n, v, heads = sum(uni.values()), len(uni), Counter({"<s>": len(train), **uni})
-    before, follow = Counter(b for _, b in bi), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in bi.items():
-        follow[a][min(c, 3) - 1] += 1
+        tri.update(zip(["<s>", "<s>", *tokens], ["<s>", *tokens], tokens, strict=False))
+    for (a, b, _), n in tri.items():
+        context[a, b] += n
+    bi = Counter((b, c) for _, b, c in tri)  # distinct words before the pair
+    one = Counter(c for _, c in bi)
+    after, heads = defaultdict(lambda: [0, 0, 0]), Counter()
+    for (b, _), n in bi.items():
+        after[b][min(n, 3) - 1] += 1
+        heads[b] += n
     of = lambda counts: lm_score.discounts(np.array([sum(c == k for c in counts) for k in (1, 2, 3, 4)]))
-    high, lo, total = of(bi.values()), of(before.values()), len(bi)
-    rest = sum(lo[min(c, 3) - 1] for c in before.values()) / total
+    d3, d2, d1 = of(tri.values()), of(bi.values()), of(one.values())
+    less = lambda n, d: n - d[min(n, 3) - 1] if n else 0.0
+    kept = Counter()
+    for (a, b, _), n in tri.items():
+        if n >= least:
+            kept[a, b] += less(n, d3)
+    total, v, pairs = sum(uni.values()), len(uni), len(bi)
+    rest = sum(d1[min(n, 3) - 1] for n in one.values()) / pairs
     out = []
     for t in texts:
-        tokens, score, base, known, prev = low(t), 0.0, 0.0, 0, "<s>"
-        for w in tokens:
-            c = before[w]
-            p = (c - lo[min(c, 3) - 1] if c else 0) / total + rest / (v + 1)
-            if heads[prev]:
-                c = bi[prev, w]
-                p = (c - high[min(c, 3) - 1] if c else 0) / heads[prev] + sum(d * k for d, k in zip(high, follow[prev], strict=True)) / heads[prev] * p
+        a, b, score, base, known = "<s>", "<s>", 0.0, 0.0, 0
+        for w in low(t):
+            p = less(one[w], d1) / pairs + rest / (v + 1)
+            if heads[b]:
+                p = less(bi[b, w], d2) / heads[b] + sum(d * k for d, k in zip(d2, after[b], strict=True)) / heads[b] * p
+            if context[a, b]:
+                n = tri[a, b, w] if tri[a, b, w] >= least else 0
+                p = less(n, d3) / context[a, b] + (1 - kept[a, b] / context[a, b]) * p
             score += math.log10(p)
-            base += math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1)))
+            base += math.log10((uni[w] + 0.1) / (total + 0.1 * (v + 1)))
             known += uni[w] > 0
-            prev = w
+            a, b = b, w
         out.append((score, base, known))
     return out
 
@@ -228,25 +239,44 @@ def test_language_model(spark, docs, empty):
     texts = [prose("t", 300), prose("t", 40), prose("u", 60), "", None, prose("t", 300), "Unknown words ONLY"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     train = [texts[k] or "" for k in (0, 2, 4, 5)]
-    model = lm_score.train(df.filter("doc_id IN (0, 2, 4, 5)"), shards=3)
-    got = sorted(lm_score.score(df, model).collect())
-    for r, (score, base, known) in zip(got, reference_scores(train, [t or "" for t in texts]), strict=True):
-        assert r.score == pytest.approx(score) and r.base_score == pytest.approx(base) and r.n_known == known
-        assert r.train_tokens == sum(len(t.split()) + 1 for t in train)
+    for shards, least in ((3, 2), (40, 2), (2, 1)):
+        model = lm_score.train(df.filter("doc_id IN (0, 2, 4, 5)"), shards=shards, least=least)
+        got = sorted(lm_score.score(df, model).collect())
+        for r, (score, base, known) in zip(got, reference_scores(train, [t or "" for t in texts], least), strict=True):
+            assert r.score == pytest.approx(score) and r.base_score == pytest.approx(base) and r.n_known == known
+            assert r.train_tokens == sum(len(t.split()) + 1 for t in train)
     nothing = lm_score.train(empty)
     assert all(r.n_known == 0 and r.score == 0 for r in lm_score.score(df, nothing).collect())
     assert lm_score.score(docs, model).count() == len(documents()) and lm_score.score(empty, model).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_probabilities_sum_to_one(spark, least):
     df = spark.createDataFrame([(1, "a b a c a b d b a"), (2, "b b c a")], "doc_id bigint, text string")
-    model = lm_score.train(df, shards=2)
+    model = lm_score.train(df, shards=2, least=least)
     total = {}
-    for head in ("", "a ", "b ", "zz "):
+    for head in ("", "a ", "b ", "zz ", "a b ", "b a ", "zz a ", "c zz ", "d a "):
         # One word after the head, and the end token or an unknown word in its place.
         probe = [f"{head}{w}" for w in ("a", "b", "c", "d", "unknown")] + [head.strip()]
         words = A.split_words(*A.string_parts(pa.array(probe)), A.NOT_SPACE)
         hashes, bounds = lm_score._tokens(words)
         logs, _, _ = model.log10(hashes, bounds)
-        total[head] = sum(10 ** logs[b + bool(head)] for b in bounds[:-1])
+        total[head] = sum(10 ** logs[b + len(head.split())] for b in bounds[:-1])
     assert all(v == pytest.approx(1) for v in total.values())
+
+
+def test_pairings_and_counts():
+    """Keys of pairs are a bijection in shard order; packed counts come back, also beyond 32 bits."""
+    r = np.random.default_rng(2)
+    for n_ids in (3, 1 << 19, (1 << 26) + 5, (1 << 32) - 2):
+        pairing = lm_score.Pairing(n_ids)
+        a, b = r.integers(0, n_ids + 1, 500), r.integers(0, n_ids + 1, 500)
+        keys = np.sort(pairing.key(a, b))
+        assert sorted(zip(*(x.tolist() for x in pairing.ids(keys)), strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+        shards = pairing.shard(keys, 7)
+        assert (np.diff(shards.astype(int)) >= 0).all() and all(k >= pairing.first(int(s), 7) for k, s in zip(keys.tolist(), shards, strict=True))
+    t = lm_score.Triples(r.integers(0, 50, 300).astype(np.uint64), r.integers(0, 4, 300), r.integers(1, 1 << 40, 300))
+    keys, heads, counts = lm_score.Triples.unpacked(t.packed(0, len(t)))
+    assert (keys == t.keys).all() and (heads == t.heads).all() and (counts == t.counts).all()
+    small = lm_score._small(t.counts)
+    assert (lm_score._large(*small, np.arange(len(t))) == t.counts).all()
