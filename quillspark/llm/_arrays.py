@@ -9,8 +9,10 @@ of documents (:func:`slices`), so memory follows the slice, not the column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +164,30 @@ def window_hashes(values: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     return mix((total[at + size] - total[at]) * down[at]), at
 
 
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(kernel: Kernel) -> Kernel:
+    """The kernel, giving freed memory back to the machine behind each task: workers are used again."""
+
+    @wraps(kernel)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(rows)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import mix, slices, string_parts
+from quillspark.llm._arrays import mix, slices, string_parts, trimmed
 
 DIM, N = 1024, 3
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _PIECE = 1 << 19
 #: Counts in one dense table, and distinct n-grams of a language that a task holds before it bundles them.
-_CELLS, _GRAMS = 1 << 22, 1 << 18
+_CELLS, _GRAMS = 1 << 22, 1 << 16
 
 
 def _coded(gram: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +168,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> Itera
 def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, n: int = N) -> dict[str, np.ndarray]:
     """Bundle of all training rows by language; a sum of ``dim`` numbers for each reaches the driver."""
 
+    @trimmed
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of n-grams by language, bound and bundled once per task."""
         profiler, grams = Profiler(dim, n), {}
@@ -229,6 +230,7 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], id_col: str = "doc_i
     """doc_id, lang_pred, score for each document."""
     model = docs.sparkSession.sparkContext.broadcast(protos)
 
+    @trimmed
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value, dim, n)
         for batch in rows:
@@ -243,6 +245,7 @@ def keep_language(docs: DataFrame, protos: dict[str, np.ndarray], languages: set
     """The rows, unchanged, whose predicted language is wanted (None: any but ``und``) with at least this score."""
     model, k = docs.sparkSession.sparkContext.broadcast(protos), docs.columns.index(text_col)
 
+    @trimmed
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value, dim, n)
         for batch in rows:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, string_parts, window_hashes
+from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, string_parts, trimmed, window_hashes
 from quillspark.llm._store import shared_folder, written
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -92,6 +92,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     return winner.reshape(n_docs, registers)
 
 
+@trimmed
 def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tk, rk, text) to (doc_id, tk, rk, size, buckets, sketch)."""
     place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -212,6 +213,7 @@ def _cells(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Side, pa.RecordBat
                 yield party, batch.slice(i, j - i), first
 
 
+@trimmed
 def _near_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The leaders and members that have a near partner in another component."""
     for leaders, batch, _ in _cells(rows):
@@ -227,6 +229,7 @@ def _near_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linking(similarity: float):  # type: ignore[no-untyped-def]
+    @trimmed
     def links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with texts to the verified links that join two components."""
         joined: dict[int, int] = {}  # of one cell: component to the one it is in now

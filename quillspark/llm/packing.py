@@ -28,6 +28,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import batches, texts_of
+from quillspark.llm._arrays import batches, texts_of, trimmed
 from quillspark.llm._store import shared_folder, written
 
 WINDOW = 1024
@@ -65,16 +66,23 @@ class BpeEncoder:
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, ranks: str | None, pattern: str | None) -> BpeEncoder:
+    """One for each worker, not for each task."""
+    return BpeEncoder(path, ranks, pattern)
+
+
 PIECES = "task int, rank long, doc_id {id}, start long, length int, ids_crc32 long, doc_tokens long"
 
 
 def _pieces_with(path: str, ranks: str | None, pattern: str | None, window: int):
     """Function for mapInArrow on (doc_id, text): a row per piece; rank counts a task's pieces of one length."""
 
+    @trimmed
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, encoder, seen = TaskContext.get().partitionId(), BpeEncoder(path, ranks, pattern), np.zeros(window + 1, dtype=np.int64)
+        task, encoder, seen = TaskContext.get().partitionId(), _encoder(path, ranks, pattern), np.zeros(window + 1, dtype=np.int64)
         for batch in batches(rows, 512):
             at, starts, lengths, crcs, totals, order = [], [], [], [], [], []
             for d, text in enumerate(texts_of(batch.column(1))):
@@ -94,8 +102,8 @@ def _pieces_with(path: str, ranks: str | None, pattern: str | None, window: int)
     return run
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 of least ||a x - b||: accelerated projected gradient with restarts."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600, close: float = 1e-7) -> np.ndarray:
+    """x >= 0 of least ||a x - b||: accelerated projected gradient with restarts, until steps are as small as ``close``."""
     lip = float(np.abs(a).sum(0).max() * np.abs(a).sum(1).max()) or 1.0
     x = y = np.zeros(a.shape[1])
     t = 1.0
@@ -104,8 +112,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
         if (y - step) @ (step - x) > 0:
             y, t = x, 1.0
             continue
-        s = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        s, moved = (1 + (1 + 4 * t * t) ** 0.5) / 2, float(np.abs(step - x).max(initial=0))
         x, y, t = step, step + (t - 1) / s * (step - x), s
+        if moved <= close:
+            break
     return x
 
 
@@ -206,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     n_full, counts[window] = int(counts[window]), 0
     slots, n_packed = plan(counts, window)
     slots.append(Slot(window, 0, n_full, n_packed, 1, 0))
-    # Slots by length as arrays: a piece finds its own by binary search in an array of its length.
+    # Slots by length as arrays: a piece looks through the few slots of its length.
     table = spark.createDataFrame([tuple(s) for s in slots], "length int, low long, high long, first long, each long, at long")
     by_length = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "each", "at"))).alias("slots"))
     placed = pieces.join(bases.select("task", "length", "base"), ["task", "length"])

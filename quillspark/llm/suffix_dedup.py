@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrays import NOT_SPACE, column_words, mix, string_parts, window_hashes
+from quillspark.llm._arrays import NOT_SPACE, column_words, mix, string_parts, trimmed, window_hashes
 from quillspark.llm._store import discard, shared_folder, written
 
 LENGTH, CORE = 50, 31
@@ -69,6 +69,7 @@ def minimisers(values: np.ndarray, first: np.ndarray, stride: int = STRIDE) -> n
     return np.flatnonzero(chosen)
 
 
+@trimmed
 def _anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(both halves of the text key, text) to (key, key2, at, core)."""
     for batch in rows:
@@ -85,6 +86,7 @@ KEY = ["text_key", "text_key2"]
 SUFFIX = "core long, right binary, left binary, text_key long, text_key2 long, at int"
 
 
+@trimmed
 def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(both halves of the text key, text, positions) to suffixes with their context."""
     for batch in rows:
@@ -213,6 +215,7 @@ def _decided(w: _Windows, ends: tuple[int, ...]) -> tuple[pa.RecordBatch, list[p
     return spans.batch(), windows
 
 
+@trimmed
 def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes in the order of core and right context to spans and open windows."""
     held, first = [], True
