@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.plans import queries as q
-from quillspark.plans import rule_queries  # noqa: F401  registers its queries
+from quillspark.plans import rule_queries, visual_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
