@@ -47,6 +47,26 @@ class Registry:
     def has(self, name: str) -> bool:
         return name in self._by_name
 
+    def validate(self, names: list[str]) -> None:
+        """Fails early on names that no parser has."""
+        if unknown := [n for n in names if not self.has(n)]:
+            raise ValueError(f"unknown parsers: {', '.join(unknown)}")
+
+    def first(self, names: list[str], raw: bytes, suffix: str) -> tuple[str | None, Parsed | None, list[str]]:
+        """(name and result of the first parser that gives one, what went wrong before)."""
+        errors: list[str] = []
+        for name in names:
+            if not self.has(name):
+                errors.append(f"{name}: not_registered")
+                continue
+            try:
+                if (parsed := self.get(name)(raw, suffix)) is not None:
+                    return name, parsed, errors
+                errors.append(f"{name}: no_candidates_produced")
+            except Exception as e:  # a parser's failure is the next one's turn
+                errors.append(f"{name}: {type(e).__name__}: {e}")
+        return None, None, errors
+
     def run(self, names: list[str], raw: bytes, suffix: str) -> list[tuple[str, Parsed]]:
         """Candidates of the named parsers in order."""
         return [(n, p) for n in names if (p := self.get(n)(raw, suffix)) is not None]
@@ -189,3 +209,34 @@ def merge_stats(batches: Iterator[dict]) -> dict[str, int]:
             if str(v).isdigit():
                 total[k] = total.get(k, 0) + int(v)
     return total
+
+
+CHAIN = "parser_name string, content string, extracted_text string, stats map<string,string>, errors array<string>"
+
+
+def parse_with_fallback(files: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Like :func:`parse_files`, trying the parsers of the fallback chain in order; errors lists what failed before.
+
+    files: path, content (bytes).
+    """
+    from quillspark.plans.planner import fallback_chain
+
+    known = registry or default_registry()
+
+    def one(raw: bytes, suffix: str, names: list[str]) -> tuple:
+        name, parsed, errors = known.first(list(names), raw, suffix)
+        return (name, parsed.markdown, parsed.plain, parsed.stats, errors) if parsed else (None, None, None, {}, errors)
+
+    @F.pandas_udf(CHAIN)
+    def run(raws: pd.Series, suffixes: pd.Series, chains: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(bytes(r or b""), s, c) for r, s, c in zip(raws, suffixes, chains, strict=True)], columns=[c.split()[0] for c in CHAIN.split(", ")])
+
+    path = F.col("path")
+    typed = files.select("path", "content", filetype.suffix(path).alias("suffix"), filetype.media_type(path).alias("media_type"), F.length("content").cast("long").alias("size_bytes"))
+    parsed = typed.withColumn("p", run("content", "suffix", fallback_chain(F.col("suffix"), F.col("media_type"))))
+    return parsed.select("path", "suffix", "media_type", "size_bytes", "p.*")
+
+
+def read_with_fallback(spark: SparkSession, folder: str, glob: str = "*", registry: Registry | None = None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return parse_with_fallback(files.select("path", "content"), registry)
