@@ -16,21 +16,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from quillspark.functions import text as T
+
 # Types as objects: workers import this module without a session that could parse names.
 _STRING = StringType()
 _NORMALIZED = StructType().add("text", _STRING).add("applied", ArrayType(_STRING))
 
-_LIST = re.compile(r"([-*+]|\d+\.)\s+")
-_PAREN = re.compile(r"\(\d+\)\s+")
-_SECTION = re.compile(r"\s*(?:제\s*\d+\s*장|\d+(?:\.\d+)*\.|[가-힣A-Z]\.)\s+")
-_CAPTION = re.compile(r"\s*(?:표|그림|table|figure)\s*\d", re.I)
-_MARKER = re.compile(r"<!-- page (\d+) -->$")
+# The dialect's patterns have one home, functions.text.
+_LIST, _PAREN, _SECTION, _CAPTION = (re.compile(p) for p in (T.LIST_ITEM, T.PAREN_ITEM, T.SECTION, T.CAPTION))
+_MARKER, _FOOTER, _KEY_VALUE, _KOREAN_END = (re.compile(p) for p in (T.PAGE_MARKER, T.PAGE_FOOTER, T.KEY_VALUE, T.KOREAN_TERMINAL))
+# Fixed: markers between the parts of a table.
 _ANY_MARKER = re.compile(r"<!--\s*page\s+\d+\s*-->$")
 _CONTINUED = re.compile(r"\(?\s*(?:계\s*속|continued?)\s*\)?$", re.I)
-_FOOTER = re.compile(r"-?\s*\d+\s*-?$")
-_KEY_VALUE = re.compile(r"\s*([^:：|]{1,80}?)(?:[:：]|\s{2,})(.+?)\s*$")
 _HANGUL = re.compile("[가-힣]")
-_KOREAN_END = re.compile(r"(?:다|요|음|함|됨|임|것)\s*$")
 
 Transform = Callable[[list[str]], list[str]]
 
