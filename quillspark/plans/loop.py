@@ -7,11 +7,7 @@ lineage stays short and a lost executor repeats one round's tasks at most.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores as S
@@ -20,21 +16,7 @@ from quillspark.operators import folds, tables
 from quillspark.operators import metrics as M
 from quillspark.operators import recovery as V
 from quillspark.plans import planner as P
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; on one machine only, one of its own if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "quillspark")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+from quillspark.storage import discard, shared_folder, written
 
 
 def _named(issue_type: str):
@@ -79,7 +61,7 @@ def repair_once(rows: DataFrame, keys: list[str], folder: str) -> DataFrame:
         native = []
         after = F.when(F.exists("plan", _named(d.issue_type)), F.col("next")).otherwise(F.col("candidate"))
         noted = F.when(after != F.col("candidate"), F.concat("applied", F.array(F.lit(d.action_name)))).otherwise(F.col("applied"))
-        out = _written(changed(out, d).select(*rest, after.alias("candidate"), noted.alias("applied")), f"{folder}/{k}")
+        out = written(changed(out, d).select(*rest, after.alias("candidate"), noted.alias("applied")), f"{folder}/{k}")
     return stage(out, native) if native else out
 
 
@@ -104,7 +86,7 @@ def run(df: DataFrame, keys: list[str], rounds: int = S.MAX_ROUNDS, similarity=N
         cells = tables.grids_similarity("references", "candidate") if "references" in known else None
         kind = F.col("source_class") if "source_class" in known else None
         out = M.evaluate(rows, keys, similarity=similarity, source_class=kind, toc_coverage=toc, cell_similarity=cells)
-        return _written(out.withColumn("round", F.lit(k)), f"{folder}/round-{k}")
+        return written(out.withColumn("round", F.lit(k)), f"{folder}/round-{k}")
 
     columns = [*keys, "round", "total_score", "applied", "candidate"]
     state = scored(df.select(*keys, "source", "candidate", *known, F.array().cast("array<string>").alias("applied")), 0)
@@ -114,9 +96,10 @@ def run(df: DataFrame, keys: list[str], rounds: int = S.MAX_ROUNDS, similarity=N
         todo = state.filter(P.needs_repair(F.lit(k - 1), F.col("gate_failures"), n_issues))
         todo = P.flagged(todo, keys, F.col("source_class") if "source_class" in known else None, n_issues)
         planned = todo.withColumn("plan", P.directives(P.inputs(todo, content=F.col("candidate")))).filter(F.size("plan") > 0)
-        planned = _written(planned.select(*keys, "source", "candidate", *known, "plan"), f"{folder}/plan-{k}")
+        planned = written(planned.select(*keys, "source", "candidate", *known, "plan"), f"{folder}/plan-{k}")
         repaired = repair_once(planned, keys, f"{folder}/steps-{k}").filter(F.size("applied") > 0)
         state = scored(repaired.select(*keys, "source", "candidate", *known, "applied"), k)
+        discard(df.sparkSession, f"{folder}/plan-{k}", f"{folder}/steps-{k}")  # only rounds are read again
         history = history.unionByName(state.select(*columns))
         if state.isEmpty():
             break

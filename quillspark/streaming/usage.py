@@ -13,6 +13,15 @@ def usage_by_window(calls: DataFrame, time_col: str = "ts", window: str = "1 hou
     return grouped.select(F.col("w.start").alias("window_start"), "stage", "calls", "duration_ms")
 
 
+def write(calls: DataFrame, folder: str, **options: str):
+    """Append each window's usage to Parquet once the watermark has passed it; its state is dropped then.
+
+    The folder also holds the stream's checkpoint, so it must be one that all executors share.
+    """
+    sink = usage_by_window(calls).writeStream.outputMode("append").format("parquet")
+    return sink.option("path", f"{folder.rstrip('/')}/windows").option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint").options(**options)
+
+
 def start(calls: DataFrame, name: str, **options: str):
     """Run the windowed usage of a stream into a memory table: for tests and dashboards."""
     return usage_by_window(calls).writeStream.outputMode("complete").format("memory").queryName(name).options(**options).start()

@@ -88,7 +88,7 @@ CASES = [
 def test_every_directive_fires_and_changes_the_text(spark):
     grid = [[["part", "value"], ["alpha", "10"], ["beta", "20"]]]
     pool = ["before\n" + HEAD + "\n| alpha | 10 |\n| beta | 20 |"]
-    toc = [(2, "First title", 1)]
+    toc = [(2, "First title", 1), (2, "Second one", 1), (3, "Third one", 1)]
     schema = "id bigint, source string, candidate string, source_class string, toc array<struct<level:int,title:string,page:int>>, references array<array<array<string>>>, alternates array<string>"
     rows = [(i, s, c, kind, toc if "toc" in name else [], grid if "fusion" in name else None, pool if "fusion" in name else []) for i, (name, kind, s, c, _, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, schema)

@@ -59,3 +59,23 @@ def test_command_line(spark, tmp_path, capsys):
     rows = {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert rows["a.md"].folder.endswith("/out/sub/a") and "# Title" in rows["a.md"].text and rows["c.pdf"].text is None
     assert cli.main(["x", "y", "--graph"]) == 0 and "parse_document --> evaluate_candidate" in capsys.readouterr().out
+
+
+def test_windows_are_appended_once_they_are_closed(spark, tmp_path):
+    from quillspark.streaming import usage
+
+    source, out = tmp_path / "calls", f"file://{tmp_path}/usage"
+    source.mkdir()
+    schema = "ts timestamp, stage string, duration_ms long"
+
+    def arrive(name: str, *rows: tuple) -> None:
+        (source / name).write_text("".join(json.dumps({"ts": t, "stage": s, "duration_ms": d}) + "\n" for t, s, d in rows))
+        stream = spark.readStream.schema(schema).json(f"file://{source}")
+        usage.write(stream, out).trigger(availableNow=True).start().awaitTermination()
+
+    arrive("1.json", ("2024-01-01T00:10:00", "judge", 5), ("2024-01-01T00:20:00", "judge", 7), ("2024-01-01T01:00:00", "parse", 1))
+    assert spark.read.parquet(f"{out}/windows").count() == 0 if list((tmp_path / "usage" / "windows").glob("*.parquet")) else True
+    arrive("2.json", ("2024-01-01T09:00:00", "parse", 2))
+    arrive("3.json", ("2024-01-01T00:30:00", "judge", 99), ("2024-01-01T09:10:00", "parse", 3))  # the first is too late
+    got = {(str(r.window_start), r.stage): (r.calls, r.duration_ms) for r in spark.read.parquet(f"{out}/windows").collect()}
+    assert got == {("2024-01-01 00:00:00", "judge"): (2, 12), ("2024-01-01 01:00:00", "parse"): (1, 1)}
