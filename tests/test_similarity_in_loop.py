@@ -34,7 +34,8 @@ def test_repairs_use_the_similarity(spark, tmp_path):
     assert {k: round(v, 6) for k, v in outcomes.items()} == {k: round(second[k].total_score - first[k].total_score, 6) for k in first}
 
     want = before.withColumn("content", F.col("candidate"))
-    want = {r[0]: r[1] for r in want.select("doc_id", F.array_join(F.transform(P.directives(P.inputs(want)), lambda x: x["issue_type"]), ",")).collect()}
+    given = P.inputs(want, is_pdf=F.col("doc_id") % 2 == 0)  # as the query has it
+    want = {r[0]: r[1] for r in want.select("doc_id", F.array_join(F.transform(P.directives(given), lambda x: x["issue_type"]), ",")).collect()}
     assert {r.doc_id: r.directives for r in known["directives"](spark, folder).collect()} == want
 
     history = known["repair_loop"](spark, folder).collect()
