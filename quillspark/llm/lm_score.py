@@ -9,8 +9,10 @@ shard; a shard's task merges them.  The number of shards follows the number of t
   rank over all shards;
 * bigram shards: sorted keys of (id, id), with how many distinct words come before the
   pair and how often it occurs;
-* trigram shards, cut by the first two words: sorted contexts with the sums of their trigrams,
-  and the trigrams that occur ``LEAST`` times or more with their counts;
+* trigram shards, in the order of their last two words: the word before each pair and the count.
+  They stay in the task that counts them;
+* context shards, in the order of the bigrams: how many words follow the pair once, twice, more often,
+  counted over the stored trigrams; of a pair that occurs once it is known without;
 * statistics by id range: how many pairs a word begins by how many words come before them, and
   how many distinct words come before it.
 
@@ -22,8 +24,9 @@ Workers memory-map the files: only pages that a batch looks up are read.
 Probabilities: discounts D1, D2, D3+ from counts of counts on each level.  Trigrams are discounted by
 their counts and interpolated with bigrams, these, by continuation counts (how many words come
 before them), with words by continuation counts, and those with the uniform distribution over the
-vocabulary and one unknown word.  All trigrams enter totals, counts of counts and continuation
-counts; those below ``LEAST`` are not stored, and their share goes to the bigram with what the discounts leave.
+vocabulary and one unknown word.  All trigrams are stored.  A caller may ask for those of ``least``
+occurrences only; then the others enter totals, counts of counts and continuation counts, and their
+share goes to the bigram with what the discounts leave.
 Texts begin in a start state of two places and close with an end token.
 
 Defined cases: null text is empty (its end token only); null ids train; without
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._arrays import NOT_SPACE, Words, column_words, mix, trimmed
-from quillspark.llm._store import forget_shuffles, mapped, put, shared_folder
+from quillspark.llm._store import discard, forget_shuffles, mapped, put, shared_folder, written
 
 SMOOTH = 0.1
 #: The end token; no word has no bytes.
@@ -53,7 +56,8 @@ END_HASH = mix(np.array([0x5EED], dtype=np.uint64))[0]
 #: (key, count) pairs that a task holds before it sends or merges them.
 HELD = 1 << 21
 #: Tokens of training text to a shard, and the smallest count of a stored trigram (1 stores all).
-SHARD_TOKENS, LEAST = 1 << 22, 2
+SHARD_TOKENS, LEAST = 1 << 22, 1
+#: Bytes of text counted at once; scoring holds more numbers a token and takes half.
 _SLICE = 1 << 22
 BLOB = "shard int, keys binary, counts binary"
 
@@ -273,6 +277,20 @@ def _large(small: np.ndarray, over: np.ndarray, values: np.ndarray, at: np.ndarr
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The numbers' bytes, as many each as the largest needs, and eight more, so that each can be read as a long one."""
+    wide = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    out = np.zeros(len(x) * wide + 8, dtype=np.uint8)
+    out[: len(x) * wide].reshape(-1, wide)[:] = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
+    return out
+
+
+def _widened(raw: np.ndarray, n: int, at: np.ndarray | slice) -> np.ndarray:
+    """Those at some places of ``n`` numbers that :func:`_narrow` wrote."""
+    wide = (len(raw) - 8) // n
+    return (np.ndarray((n,), "<u8", raw, 0, (wide,))[at] & np.uint64((1 << 8 * wide) - 1)).view(np.int64)
+
+
 def _arrays(raw: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The arrays of a file that begins with their lengths."""
     sizes, at, out = raw[: 8 * len(kinds)].view("<u8"), 8 * len(kinds), []
@@ -313,10 +331,12 @@ class Files:
 
 #: Numbers of which most are small: a byte each, places of those over 254, their values.
 SMALL = ("u1", "<u8", "<u8")
-#: Bigram files: where each range of keys begins, the keys' low 32 bits, words before the pair, occurrences.
-PAIR_FILE = ("<u8", "<u4", *SMALL, *SMALL)
-#: Trigram files: contexts, their stored trigrams' sum, how many occur once (if stored), twice, more often; (context, id), counts.
-TRIPLE_FILE = ("<u8", *SMALL * 4, "<u8", *SMALL)
+#: Bigram files: where each range of keys begins, and its trigrams; the keys' low bits; words before the pair, occurrences, stored trigrams (empty: as many as words before).
+PAIR_FILE = ("u1", "u1", "u1", *SMALL * 3)
+#: Trigram files, in the order of the bigrams: first words, sorted for each pair; counts.
+TRIPLE_FILE = ("u1", *SMALL)
+#: Context files, in the order of the bigrams up to the last that occurs twice: stored trigrams that begin with the pair and occur once, twice, more often; their sum (empty: the pair's occurrences).
+CONTEXT_FILE = SMALL * 4
 #: Statistics files: five numbers of each word of an id range.
 STATS_FILE = SMALL * 5
 
@@ -327,20 +347,71 @@ def _cut(pairing: Pairing, shards: int, n: int) -> tuple[int, int]:
     return inner, min(inner, max(inner - 32, n.bit_length() - 2, 0))
 
 
-def _put_triples(uri: str, t: Triples) -> None:
-    """Stored trigrams by their contexts: keys are contexts, heads the words behind them."""
-    first = np.flatnonzero(np.concatenate([[True], t.keys[1:] != t.keys[:-1]])[: len(t)])
-    total = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else x[:0].astype(np.int64)
-    sums = (a for x in (t.counts, t.counts == 1, t.counts == 2, t.counts > 2) for a in _small(total(x)))
-    place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t)))).astype(np.uint64)
-    _put_arrays(uri, t.keys[first].astype("<u8"), *sums, (place << np.uint64(32)) | t.heads.astype(np.uint64), *_small(t.counts))
-
-
-def _put_pairs(uri: str, pairing: Pairing, shards: int, s: int, keys: np.ndarray, before_: np.ndarray, times: np.ndarray) -> None:
+def _put_pairs(folder: str, pairing: Pairing, shards: int, s: int, keys: np.ndarray, before_: np.ndarray, times: np.ndarray, stored: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> None:
+    """A shard's pairs, and the heads and counts of their stored trigrams."""
     inner, top = _cut(pairing, shards, len(keys))
     local = keys - np.uint64(pairing.first(s, shards))
     ranges = np.searchsorted(local >> np.uint64(inner - top), np.arange((1 << top) + 1, dtype=np.uint64))
-    _put_arrays(uri, ranges.astype("<u8"), (local & np.uint64((1 << (inner - top)) - 1)).astype("<u4"), *_small(before_), *_small(times))
+    firsts = np.concatenate([[0], np.cumsum(stored)])[ranges]
+    low = local & np.uint64((1 << (inner - top)) - 1)
+    own = stored if (stored != before_).any() else stored[:0]
+    _put_arrays(f"{folder}/pairs/{s}", _narrow(ranges), _narrow(firsts), _narrow(low), *_small(before_), *_small(times), *_small(own))
+    _put_arrays(f"{folder}/triples/{s}", _narrow(heads), *_small(counts))
+
+
+@dataclass
+class Pairs:
+    """Bigram files, cut by key range into shards."""
+
+    pairing: Pairing
+    shards: int
+    files: Files
+
+    def by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        cut = np.searchsorted(self.pairing.shard(keys, self.shards), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cut)):
+            yield int(s), slice(cut[s], cut[s + 1])
+
+    def places(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of sorted keys, by shard: those that are there, their places, and where their trigrams begin."""
+        for s, part in self.by_shard(keys):
+            ranges, firsts, low, *_ = self.files[s]
+            _, stored = self.counts(s)[1:]
+            n = len(stored[0])
+            if not n:
+                continue
+            inner, top = _cut(self.pairing, self.shards, n)
+            local = keys[part] - np.uint64(self.pairing.first(s, self.shards))
+            want, r = (local & np.uint64((1 << (inner - top)) - 1)).astype(np.int64), (local >> np.uint64(inner - top)).astype(np.int64)
+            at, end, first = _widened(ranges, (1 << top) + 1, r), _widened(ranges, (1 << top) + 1, r + 1), _widened(firsts, (1 << top) + 1, r)
+            left, there = np.flatnonzero(at < end), np.zeros(len(at), dtype=bool)
+            while len(left):  # ranges hold a few keys
+                hit = _widened(low, n, at[left]) == want[left]
+                there[left[hit]] = True
+                left = left[~hit]
+                first[left] += _large(*stored, at[left])
+                at[left] += 1
+                left = left[at[left] < end[left]]
+            found = np.flatnonzero(there)
+            yield s, part.start + found, at[found], first[found]
+
+    def counts(self, s: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Words before a shard's pairs, occurrences, stored trigrams."""
+        counts = self.files[s][3:]
+        return counts[:3], counts[3:6], counts[6:] if len(counts[6]) else counts[:3]
+
+    def keys(self, s: int) -> np.ndarray:
+        ranges, _, low, small, *_ = self.files[s]
+        inner, top = _cut(self.pairing, self.shards, len(small))
+        high = np.repeat(np.arange(1 << top, dtype=np.uint64), np.diff(_widened(ranges, (1 << top) + 1, slice(None))))
+        return ((high << np.uint64(inner - top)) | _widened(low, len(small), slice(None)).astype(np.uint64)) + np.uint64(self.pairing.first(s, self.shards))
+
+
+def _put_contexts(folder: str, s: int, t: Triples, whole: bool) -> None:
+    """What follows a shard's pairs: keys are their places, heads the kinds of sums; ``whole``: all trigrams are stored."""
+    sums = np.zeros((4, int(t.keys.max(initial=np.uint64(0))) + 1 if len(t) else 0), dtype=np.int64)
+    sums[t.heads, t.keys.astype(np.int64)] = t.counts
+    _put_arrays(f"{folder}/contexts/{s}", *(a for x in (*sums[:3], sums[3, :0] if whole else sums[3]) for a in _small(x)))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -355,10 +426,10 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Model:
     vocabulary: Shards
     pairing: Pairing
-    pairs: Files
+    pairs: Pairs
     triples: Files
+    contexts: Files
     stats: Files
-    shards: int
     n_tokens: int
     n_docs: int
     n_pairs: int  # distinct
@@ -366,6 +437,8 @@ class Model:
     d_two: np.ndarray
     d_one: np.ndarray
     low: np.ndarray  # words by continuation count: 1, 2, 3+
+    whole: bool  # all trigrams are stored
+    begin: np.ndarray  # stored trigrams at the start of a text that occur once, twice, more often; their sum
     span: int  # ids in a statistics file
 
     @property
@@ -382,48 +455,42 @@ class Model:
                 out[cut[r] : cut[r + 1], k] = _large(*columns[3 * k : 3 * k + 3], at)
         return out[code]
 
-    def _by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        cut = np.searchsorted(self.pairing.shard(keys, self.shards), np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cut)):
-            yield int(s), slice(cut[s], cut[s + 1])
-
     def find_pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words before, occurrences) of pairs, 0 if they are not there."""
+        """(words before, occurrences, stored trigrams and where they begin) of pairs, 0 if they are not there; what the discounts leave of the trigrams behind them."""
         known, code = np.unique(keys, return_inverse=True)
-        out = np.zeros((2, len(known)), dtype=np.int64)
-        for s, part in self._by_shard(known):
-            ranges, low, *counts = self.pairs[s]
-            inner, top = _cut(self.pairing, self.shards, len(low))
-            local = known[part] - np.uint64(self.pairing.first(s, self.shards))
-            want, r = (local & np.uint64((1 << (inner - top)) - 1)).astype(np.uint32), (local >> np.uint64(inner - top)).astype(np.int64)
-            at, end = ranges[r].astype(np.int64), ranges[r + 1].astype(np.int64)
-            left = np.flatnonzero(at < end)
-            while len(left):  # ranges hold a few keys
-                hit = low[at[left]] == want[left]
-                found = left[hit]
-                out[0, part.start + found], out[1, part.start + found] = _large(*counts[:3], at[found]), _large(*counts[3:], at[found])
-                left = left[~hit]
-                at[left] += 1
-                left = left[at[left] < end[left]]
-        return out[0][code], out[1][code]
-
-    def find_triples(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count of the trigram, or 0; what the discounts leave of the stored trigrams of its context) of known contexts."""
-        order = np.argsort(contexts, kind="stable")
-        keys, out, kept = contexts[order], np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
-        for s, part in self._by_shard(keys):
-            known, *sums, followers, small, over, values = self.triples[s]
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
-            hit = np.flatnonzero(known[at] == keys[part])
-            at, rows = at[hit], order[part][hit]
-            total, once, twice, more = (_large(*sums[3 * k : 3 * k + 3], at) for k in range(4))
-            kept[rows] = total - (self.d_three[0] * once + self.d_three[1] * twice + self.d_three[2] * more)
-            follow = (at.astype(np.uint64) << np.uint64(32)) | ids[rows].astype(np.uint64)
-            place = np.minimum(np.searchsorted(followers, follow), len(followers) - 1)
-            out[rows] = np.where(followers[place] == follow, _large(small, over, values, place), 0)
-        return out, kept
+        out, kept = np.zeros((4, len(known)), dtype=np.int64), np.zeros(len(known))
+        for s, rows, at, first in self.pairs.places(known):
+            ahead, times, stored = self.pairs.counts(s)
+            total = _large(*times, at)
+            out[:, rows] = _large(*ahead, at), total, _large(*stored, at), first
+            if self.whole:  # the word behind a pair that occurs once occurs there once
+                kept[rows] = (total == 1) * (1 - self.d_three[0])
+            columns = self.contexts[s]
+            more = np.flatnonzero((total > 1) & (at < len(columns[0])))
+            if len(more):
+                sums = [_large(*columns[3 * k : 3 * k + 3], at[more]) for k in range(3)]
+                kept[rows[more]] = (total[more] if self.whole else _large(*columns[9:], at[more])) - sum(d * n for d, n in zip(self.d_three, sums, strict=True))
+        return out[:, code], kept[code]
+
+    def find_triples(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Counts of (head, pair), or 0; a pair has ``size`` stored trigrams from ``first`` on."""
+        order, out = np.argsort(keys, kind="stable"), np.zeros(len(keys), dtype=np.int64)
+        for s, part in self.pairs.by_shard(keys[order]):
+            raw, *counts = self.triples[s]
+            rows, n = order[part], len(counts[0])
+            want, low = heads[rows], first[rows]
+            end = low + size[rows]
+            high, left = end.copy(), np.flatnonzero(low < end)
+            while len(left):  # halves of what is left
+                middle = (low[left] + high[left]) >> 1
+                less = _widened(raw, n, middle) < want[left]
+                low[left[less]], high[left[~less]] = middle[less] + 1, middle[~less]
+                left = left[low[left] < high[left]]
+            hit = np.flatnonzero(low < end)
+            if len(hit):
+                hit = hit[_widened(raw, n, low[hit]) == want[hit]]
+                out[rows[hit]] = _large(*counts, low[hit])
+        return out
 
     def log10(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: log10 probability, id or -1, and training count."""
@@ -437,20 +504,20 @@ class Model:
         cont, context = stats[: len(ids), 4] * known, stats[len(ids) :, :4] * (one >= 0)[:, None]
         p = (cont - self.d_one[np.clip(cont - 1, 0, 2)] * (cont > 0)) / self.n_pairs + float(self.d_one @ self.low) / self.n_pairs * uniform
 
-        pair, times = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        (pair, times, stored, first), behind = np.zeros((4, len(ids)), dtype=np.int64), np.zeros(len(ids))
         ask = np.flatnonzero(known & (one >= 0))
-        pair[ask], times[ask] = self.find_pairs(self.pairing.key(one[ask], ids[ask]))
+        (pair[ask], times[ask], stored[ask], first[ask]), behind[ask] = self.find_pairs(self.pairing.key(one[ask], ids[ask]))
         n = np.maximum(context[:, 3], 1)
         two_words = (pair - self.d_two[np.clip(pair - 1, 0, 2)] * (pair > 0)) / n + (context[:, :3] @ self.d_two) / n * p
         p = np.where(context[:, 3] > 0, two_words, p)
 
         # A context is the pair that ends one place before, or the start of a text.
-        seen = np.zeros(len(ids), dtype=np.int64)
-        seen[1:] = times[:-1]
-        seen[bounds[:-1]] = self.n_docs
-        ask = np.flatnonzero(seen > 0)
-        times3, kept = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
-        times3[ask], kept[ask] = self.find_triples(self.pairing.key(two[ask], one[ask]), np.where(known[ask], ids[ask], start + 1))
+        seen, kept = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+        seen[1:], kept[1:] = times[:-1], behind[:-1]
+        seen[bounds[:-1]], kept[bounds[:-1]] = self.n_docs, self.begin[3] - self.d_three @ self.begin[:3]
+        ask = np.flatnonzero((seen > 0) & (stored > 0))
+        times3 = np.zeros(len(ids), dtype=np.int64)
+        times3[ask] = self.find_triples(self.pairing.key(one[ask], ids[ask]), first[ask], stored[ask], two[ask])
         n = np.maximum(seen, 1)
         three = (times3 - self.d_three[np.clip(times3 - 1, 0, 2)] * (times3 > 0)) / n + (1 - kept / n) * p
         return np.log10(np.where(seen > 0, three, p)), ids, counts
@@ -469,9 +536,11 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, le
     forget_shuffles(spark)
     pairing, span = Pairing(n_types + 1), -(-(n_types + 1) // shards)
     sums = _triples(spark, texts, folder, shards, vocabulary, pairing, span, least)
+    begin = np.append(sums["begin"][:3], n_docs if least <= 1 else sums["begin"][3])
     low = np.array([sums["one"][0], sums["one"][1], sums["types"] - sums["one"][0] - sums["one"][1]], dtype=np.float64)
-    files = Files(f"{folder}/pairs", PAIR_FILE), Files(f"{folder}/triples", TRIPLE_FILE), Files(f"{folder}/stats", STATS_FILE)
-    return Model(vocabulary, pairing, *files, shards, n_tokens, n_docs, max(1, sums["pairs"]), discounts(sums["three"]), discounts(sums["two"]), discounts(sums["one"]), low, span)
+    pairs = Pairs(pairing, shards, Files(f"{folder}/pairs", PAIR_FILE))
+    files = (Files(f"{folder}/{what}", kinds) for what, kinds in (("triples", TRIPLE_FILE), ("contexts", CONTEXT_FILE), ("stats", STATS_FILE)))
+    return Model(vocabulary, pairing, pairs, *files, n_tokens, n_docs, max(1, sums["pairs"]), discounts(sums["three"]), discounts(sums["two"]), discounts(sums["one"]), low, least <= 1, begin, span)
 
 
 def _vocabulary(texts: DataFrame, folder: str, shards: int) -> tuple[Shards, int, int]:
@@ -489,7 +558,7 @@ def _vocabulary(texts: DataFrame, folder: str, shards: int) -> tuple[Shards, int
     return Shards(f"{folder}/words", np.concatenate([[0], np.cumsum(sizes)])), sum(r.tokens for r in rows), sum(r.docs for r in rows)
 
 
-_NUMBERS, _SHARE = 0, 1
+_NUMBERS, _SHARE, _CONTEXT = 0, 1, 2
 _PART = "kind int, part int, body binary"
 
 
@@ -516,7 +585,9 @@ def _triples(spark: SparkSession, texts: DataFrame, folder: str, shards: int, vo
     shared = spark.sparkContext.broadcast(vocabulary)  # two numbers per shard; files are mapped
     n_types = int(vocabulary.base[-1])
     edges = np.arange(0, n_types + 1 + span, span)
-    nothing = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    nothing = none.astype(np.uint64), none, none
+    pairs, triples = Pairs(pairing, shards, Files(f"{folder}/pairs", PAIR_FILE)), Files(f"{folder}/triples", TRIPLE_FILE)
 
     def send(t: Triples) -> pa.RecordBatch:
         cut = np.searchsorted(pairing.shard(t.keys, shards), np.arange(shards + 1))
@@ -542,26 +613,23 @@ def _triples(spark: SparkSession, texts: DataFrame, folder: str, shards: int, vo
             yield send(Triples.joined(held))
 
     def partial(s: int, t: Triples) -> Iterator[pa.RecordBatch]:
-        """Stores a shard's pairs; sends its numbers, its share of words' statistics, and the trigrams to store."""
+        """Stores a shard's pairs and trigrams; sends its numbers and its share of words' statistics."""
         first = np.flatnonzero(np.concatenate([[True], t.keys[1:] != t.keys[:-1]]))
         keys, ahead, times = t.keys[first], np.diff(np.append(first, len(t))), np.add.reduceat(t.counts, first)
-        _put_pairs(f"{folder}/pairs/{s}", pairing, shards, s, keys, ahead, times)
-        rows = [(_NUMBERS, s, np.array([len(keys), *_of_counts(t.counts), *_of_counts(ahead)], dtype="<i8").tobytes())]
+        keep = t.counts >= least
+        stored, heads, counts = np.add.reduceat(keep.astype(np.int64), first), t.heads[keep], t.counts[keep]
+        _put_pairs(folder, pairing, shards, s, keys, ahead, times, stored, heads, counts)
         b, c = pairing.ids(keys)
+        begin = counts[(heads == n_types) & (np.repeat(b, stored) == n_types)]  # at the start of a text, which is no pair
+        rows = [(_NUMBERS, s, np.array([len(keys), *_of_counts(t.counts), *_of_counts(ahead), *((begin == k).sum() for k in (1, 2)), (begin > 2).sum(), begin.sum()], dtype="<i8").tobytes())]
         one = np.ones(len(keys), dtype=np.int64)
-        shares: list[list[bytes]] = [[b""] * 6 for _ in range(shards)]
+        shares: list[list[bytes]] = [[b""] * 5 for _ in range(shards)]
         for kind, (at, n) in enumerate(((b[ahead == 1], one[ahead == 1]), (b[ahead == 2], one[ahead == 2]), (b[ahead > 2], one[ahead > 2]), (b, ahead), (c, one))):
             ids, sums = merged(at, n)
             cut = np.searchsorted(ids, edges)
             for r in np.flatnonzero(np.diff(cut)):
                 (w, i), (v, x) = _planes(ids[cut[r] : cut[r + 1]] - r * span), _planes(sums[cut[r] : cut[r + 1]])
                 shares[r][kind] = bytes([w, v]) + i + x
-        keep = np.flatnonzero(t.counts >= least)
-        b, c = pairing.ids(t.keys[keep])
-        kept = Triples(pairing.key(t.heads[keep], b), c, t.counts[keep])
-        cut = np.searchsorted(pairing.shard(kept.keys, shards), np.arange(shards + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            shares[k][5] = kept.packed(cut[k], cut[k + 1])
         yield _parts(rows + [(_SHARE, k, _joined(share)) for k, share in enumerate(shares) if any(share)])
 
     @trimmed
@@ -580,26 +648,55 @@ def _triples(spark: SparkSession, texts: DataFrame, folder: str, shards: int, vo
         if held:
             yield from partial(at, Triples.joined(held))
 
+    @trimmed
+    def follow(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a shard's trigrams add to the contexts that occur twice or more, by place among the pairs."""
+        for s in itertools.chain.from_iterable(b.column(0).to_pylist() for b in rows):
+            raw, *small = triples[s]
+            n = len(small[0])
+            if not n:
+                continue
+            _, _, stored = pairs.counts(s)
+            b, _ = pairing.ids(pairs.keys(s))
+            contexts = pairing.key(_widened(raw, n, slice(None)), np.repeat(b, _large(*stored, np.arange(len(b)))))
+            order = np.argsort(contexts)
+            contexts, counts = contexts[order], _large(*small, order)
+            first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+            size = np.diff(np.append(first, n))
+            for k, found, at, _ in pairs.places(contexts[first]):
+                more = _large(*pairs.counts(k)[1], at) > 1
+                found, at = found[more], at[more].astype(np.uint64)
+                if not len(found):
+                    continue
+                # Trigrams of the contexts, one group after another.
+                each, ends = size[found], np.cumsum(size[found])
+                own = counts[np.arange(ends[-1]) + np.repeat(first[found] - ends + each, each)]
+                place = np.repeat(at, each)
+                groups = [(place, np.minimum(own, 3) - 1, np.ones(len(own), dtype=np.int64))]
+                if least > 1:
+                    groups.append((place, np.full(len(own), 3), own))
+                t = Triples.joined(groups)
+                yield _parts([(_CONTEXT, k, t.packed(0, len(t)))])
+
     @trimmed
     def store(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def close() -> pa.RecordBatch:
             kind, part = at
-            if kind == _NUMBERS:
-                numbers = np.append(part, np.frombuffer(held[0], dtype="<i8"))
-                return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([numbers.tolist()], pa.list_(pa.int64()))], ["kind", "numbers"])
-            columns = list(zip(*map(_pieces, held), strict=True))
-            sums = np.zeros((span, 5), dtype=np.int64)
-            for own in range(5):
-                for x in filter(None, columns[own]):
-                    w, v = x[:2]
-                    n = (len(x) - 2) // (w + v)
-                    sums[_numbers(w, n, x[2 : 2 + w * n]).astype(np.int64), own] += _numbers(v, n, x[2 + w * n :]).astype(np.int64)
-            _put_arrays(f"{folder}/stats/{part}", *(a for k in range(5) for a in _small(sums[:, k])))
-            _put_triples(f"{folder}/triples/{part}", Triples.joined([Triples.unpacked(x) for x in filter(None, columns[5])] or [nothing]))
-            ahead = sums[:, 4]
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([[part, *_of_counts(ahead), int((ahead > 0).sum())]], pa.list_(pa.int64()))], ["kind", "numbers"])
+            numbers = []
+            if kind == _CONTEXT:
+                _put_contexts(folder, part, Triples.joined([Triples.unpacked(x) for x in held]), least <= 1)
+            else:
+                sums = np.zeros((span, 5), dtype=np.int64)
+                for own, column in enumerate(zip(*map(_pieces, held), strict=True)):
+                    for x in filter(None, column):
+                        w, v = x[:2]
+                        n = (len(x) - 2) // (w + v)
+                        sums[_numbers(w, n, x[2 : 2 + w * n]).astype(np.int64), own] += _numbers(v, n, x[2 + w * n :]).astype(np.int64)
+                _put_arrays(f"{folder}/stats/{part}", *(a for k in range(5) for a in _small(sums[:, k])))
+                numbers = [*_of_counts(sums[:, 4]), int((sums[:, 4] > 0).sum())]
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([numbers], pa.list_(pa.int64()))], ["kind", "part", "numbers"])
 
         for batch in rows:
             for kind, part, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -611,16 +708,20 @@ def _triples(spark: SparkSession, texts: DataFrame, folder: str, shards: int, vo
         if held:
             yield close()
 
-    parts = texts.mapInArrow(count, "shard int, body binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, _PART)
-    rows = parts.repartition(shards, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(store, "kind int, numbers array<bigint>").collect()
-    numbers = np.sum([r.numbers[1:] for r in rows if r.kind == _NUMBERS] or [[0] * 9], axis=0)
-    words = np.sum([r.numbers[1:] for r in rows if r.kind == _SHARE] or [[0] * 5], axis=0)
-    there = {k: {r.numbers[0] for r in rows if r.kind == k} for k in (_NUMBERS, _SHARE)}
-    for s in {*range(shards)} - there[_NUMBERS]:  # shards without a pair, and those without a share
-        _put_pairs(f"{folder}/pairs/{s}", pairing, shards, s, *nothing)
-    for s in {*range(shards)} - there[_SHARE]:
-        _put_triples(f"{folder}/triples/{s}", Triples(*nothing))
-    return {"pairs": int(numbers[0]), "three": numbers[1:5], "two": numbers[5:9], "one": words[:4], "types": int(words[4])}
+    # Written, so that all pairs are there when contexts are counted, and the trigrams' shuffle files can go.
+    parts = written(texts.mapInArrow(count, "shard int, body binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, _PART), f"{folder}/parts")
+    counted = {r.part: np.frombuffer(r.body, dtype="<i8") for r in parts.filter(F.col("kind") == _NUMBERS).collect()}
+    for s in {*range(shards)} - {*counted}:
+        _put_pairs(folder, pairing, shards, s, *nothing, none, none, none)
+    forget_shuffles(spark)
+    contexts = spark.range(0, shards, 1, shards).mapInArrow(follow, _PART)
+    rows = parts.filter(F.col("kind") == _SHARE).unionByName(contexts).repartition(shards, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(store, "kind int, part int, numbers array<bigint>").collect()
+    discard(spark, f"{folder}/parts")
+    for s in {*range(shards)} - {r.part for r in rows if r.kind == _CONTEXT}:
+        _put_contexts(folder, s, Triples(*nothing), least <= 1)
+    numbers = np.sum([*counted.values()] or [[0] * 13], axis=0)
+    words = np.sum([r.numbers for r in rows if r.kind == _SHARE] or [[0] * 5], axis=0)
+    return {"pairs": int(numbers[0]), "three": numbers[1:5], "two": numbers[5:9], "begin": numbers[9:], "one": words[:4], "types": int(words[4])}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -631,7 +732,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         for batch in rows:
             parts = []
-            for _, _, words in column_words(batch.column(1), NOT_SPACE, _SLICE):
+            for _, _, words in column_words(batch.column(1), NOT_SPACE, _SLICE // 2):
                 hashes, bounds = _tokens(words)
                 logs, ids, counts = m.log10(hashes, bounds)
                 base = np.log10((counts + SMOOTH) / (m.n_tokens + SMOOTH * (m.n_types + 1)))

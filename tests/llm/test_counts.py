@@ -250,6 +250,19 @@ def test_language_model(spark, docs, empty):
     assert lm_score.score(docs, model).count() == len(documents()) and lm_score.score(empty, model).count() == 0
 
 
+def test_every_trigram_is_scored(spark):
+    """Trigrams that occur once keep their own probability unless a caller leaves them out."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in np.minimum(r.geometric(0.08, n), 60)) for n in (1, 2, 3, 5000, 4000, 40, 41)] + ["the the of " * 300, "a passage that is here only once", "once only here is that passage a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    train = [*texts[:5], *texts[7:9]]
+    got = lm_score.score(df, lm_score.train(df.filter("doc_id < 5 OR doc_id IN (7, 8)"))).orderBy("doc_id").collect()
+    want, pruned = reference_scores(train, texts, 1), reference_scores(train, texts, 2)
+    assert [x.score for x in got] == pytest.approx([x[0] for x in want])
+    assert [x.n_known for x in got] == [x[2] for x in want]
+    assert got[8].score > pruned[8][0] + 0.5 and got[8].score > got[9].score + 5
+
+
 @pytest.mark.parametrize("least", [1, 2])
 def test_probabilities_sum_to_one(spark, least):
     df = spark.createDataFrame([(1, "a b a c a b d b a"), (2, "b b c a")], "doc_id bigint, text string")
@@ -280,3 +293,11 @@ def test_pairings_and_counts():
     assert (keys == t.keys).all() and (heads == t.heads).all() and (counts == t.counts).all()
     small = lm_score._small(t.counts)
     assert (lm_score._large(*small, np.arange(len(t))) == t.counts).all()
+
+
+def test_narrow_numbers():
+    r = np.random.default_rng(3)
+    for bits in (1, 8, 9, 24, 40, 63):
+        x = r.integers(0, 1 << bits, 200)
+        raw, at = lm_score._narrow(x), r.integers(0, 200, 50)
+        assert (lm_score._widened(raw, 200, at) == x[at]).all() and (lm_score._widened(raw, 200, slice(None)) == x).all()
