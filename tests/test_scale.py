@@ -38,3 +38,28 @@ def test_ratio_of_long_texts_is_no_search_over_pairs():
     began = time.process_time()
     assert 0 < ratio(a, b) < 1
     assert time.process_time() - began < 5
+
+
+def against_sql(spark, tmp_path, name, texts):
+    """Rows of a query over documents, and of its SQL."""
+    import duckdb
+
+    from quillspark import registry
+
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = registry.queries()[name](spark, folder)
+    want = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    return sorted((tuple(r) for r in got.select(*columns).collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+#: Texts whose last lines are blank, repeated, or both; empty and missing ones.
+ENDS = ["A\nA", "A\nb\nc\nd\nA", "A\n\n\nA\n", "A", "\n", "", None, "A\n\n", "x y\nX Y\n\n \nx y", "\n\nA\na\n\n", "A\nB\nC\nD\nE\nF\nG\nG\n\nG"]
+
+
+def test_repeated_last_lines(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "remove_repeated_lines", ENDS)
+    assert got == want
