@@ -63,3 +63,24 @@ ENDS = ["A\nA", "A\nb\nc\nd\nA", "A\n\n\nA\n", "A", "\n", "", None, "A\n\n", "x
 def test_repeated_last_lines(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "remove_repeated_lines", ENDS)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["line_covered", "page_token_coverage", "content_f1", "text_coverage", "quality_gate", "aggregate_score", "evaluation", "html_evaluation", "directives"])
+def test_tokens_are_counted_in_their_row(spark, name):
+    from quillspark import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_lost_kinds_are_those_of_the_lines(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import recovery as V
+
+    pairs = [("# A\ntext\n표 1 b", "text"), ("# A\ntext\n표 1 b", "other"), ("# A\ntext", "# a\ntext"), ("plain\ntext", "text"), ("", ""), ("# A\n\n- b", "\n- b"), (None, "x"), ("표 1 b\nx", None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "doc_id int, source string, candidate string")
+    lost = V.missing_lines(df, ["doc_id"], "source", "candidate").groupBy("doc_id").agg(F.max(V.caption(F.col("line"))).alias("c"))
+    want = {r.doc_id: (True, r.c) for r in lost.collect()}
+    got = df.select("doc_id", V.lost_kinds(F.col("source"), F.col("candidate")).alias("k")).select("doc_id", "k.*").collect()
+    assert {r.doc_id: (bool(r.lines), bool(r.captions)) for r in got} == {i: want.get(i, (False, False)) for i in range(len(pairs))}
