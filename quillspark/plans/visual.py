@@ -163,8 +163,12 @@ def spread(found: Column, limit: int) -> Column:
     """At most ``limit`` items, evenly spaced over the array."""
     if limit <= 0:
         return F.slice(found, 1, 0)
-    at = lambda i: F.bround(i * (F.size(found) - 1) / (limit - 1)).cast("int") if limit > 1 else F.lit(0)
-    return F.when(F.size(found) <= limit, found).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get(found, at(i))))
+
+    def thinned(xs: Column) -> Column:
+        at = lambda i: F.bround(i * (F.size(xs) - 1) / (limit - 1)).cast("int") if limit > 1 else F.lit(0)
+        return F.when(F.size(xs) <= limit, xs).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get(xs, at(i))))
+
+    return T.let(found, thinned)
 
 
 def selected_labels(source: Column, candidate: Column, limit: int) -> Column:

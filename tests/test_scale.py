@@ -84,3 +84,28 @@ def test_lost_kinds_are_those_of_the_lines(spark):
     want = {r.doc_id: (True, r.c) for r in lost.collect()}
     got = df.select("doc_id", V.lost_kinds(F.col("source"), F.col("candidate")).alias("k")).select("doc_id", "k.*").collect()
     assert {r.doc_id: (bool(r.lines), bool(r.captions)) for r in got} == {i: want.get(i, (False, False)) for i in range(len(pairs))}
+
+
+def test_shared_expressions_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import grids as G
+    from quillspark.functions import scores as S
+    from quillspark.plans import visual as W
+
+    df = spark.createDataFrame([([["a", "b"], ["c", None]], "x")], "rows array<array<string>>, t string")
+    times = lambda c, what: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count(what)
+    assert times(G.markdown(F.col("rows")), "regexp_replace") == 1
+    assert times(S.count_similarity(F.length(F.reverse("t")), F.length(F.upper("t"))), "reverse") == 1
+    assert times(S.clamp(F.length(F.reverse("t")).cast("double")), "reverse") == 1
+    assert times(W.spread(F.split(F.reverse("t"), ""), 3), "reverse") == 1
+    assert df.select(G.markdown(F.col("rows"))).first()[0] == "| a | b |\n| --- | --- |\n| c |  |"
+
+
+def test_cell_ratio_is_the_matchers():
+    from quillspark.operators.tables import cell_similarity
+
+    r = random.Random(3)
+    for alphabet in ("01", "0123456789", "ab c") * 300:
+        a, b = ("".join(r.choices(alphabet, k=r.randrange(1, 45))) for _ in "ab")
+        assert cell_similarity(a, b) == SequenceMatcher(None, a, b).ratio()
