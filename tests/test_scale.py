@@ -109,3 +109,8 @@ def test_cell_ratio_is_the_matchers():
     for alphabet in ("01", "0123456789", "ab c") * 300:
         a, b = ("".join(r.choices(alphabet, k=r.randrange(1, 45))) for _ in "ab")
         assert cell_similarity(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_recovered_last_lines(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "recover_lines", ENDS)
+    assert got == want
